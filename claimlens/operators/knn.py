@@ -85,7 +85,7 @@ def knn_join(
     else:
         hits = _cells(q, i, k, max_pivots, block_rows)
     return best_per_query(hits, k).select(
-        F.col("query_id").alias(query_id), F.col("item_id").alias(item_id), "score", "rank"
+        F.col("query_id").alias(query_id), "item_id", "score", "rank"
     )
 
 
