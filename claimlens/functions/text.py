@@ -75,7 +75,7 @@ def news_snippet(title: Column, description: Column) -> Column:
 def tokens(c: Column) -> Column:
     """Lower-cased runs of letters and digits, in text order."""
     parts = F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.filter(parts, lambda t: t != "")
+    return F.array_remove(parts, "")
 
 
 def preview(c: Column, n: int = 80) -> Column:

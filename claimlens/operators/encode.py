@@ -36,7 +36,7 @@ class Lexicon:
 def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, token, tf) without a shuffle: run lengths of the sorted tokens of each row."""
     sorted_tokens = docs.select(
-        F.col(id_col).alias("id"), F.array_sort(X.tokens(F.col(text_col))).alias("_s")
+        F.col(id_col).alias("id"), F.sort_array(X.tokens(F.col(text_col))).alias("_s")
     )
     s = F.col("_s")
     first = F.transform(
@@ -65,10 +65,18 @@ def distinct_tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def lexicon(docs: DataFrame, id_col: str, text_col: str) -> Lexicon:
     """Document frequencies; the count is combined in the map tasks before the shuffle."""
-    terms = distinct_tokens(docs, id_col, text_col)
-    df = terms.select(F.explode("terms").alias("token")).groupBy("token").agg(
-        F.count(F.lit(1)).alias("df")
-    )
+    return lexicon_of(distinct_tokens(docs, id_col, text_col), docs)
+
+
+def each_term(terms: DataFrame) -> DataFrame:
+    """(id, token) rows. The outer form keeps Spark from tokenising twice, once for a
+    filter on the array's size and once for its elements."""
+    rows = terms.select("id", F.explode_outer("terms").alias("token"))
+    return rows.where(F.col("token").isNotNull())
+
+
+def lexicon_of(terms: DataFrame, docs: DataFrame) -> Lexicon:
+    df = each_term(terms).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     return Lexicon(df, docs.select(F.count(F.lit(1))).scalar())
 
 
@@ -100,20 +108,22 @@ def bucket_weights(
     `own` gives the frequencies of the encoded texts when they are not the corpus of `lex`.
     """
     counts = token_counts(docs, id_col, text_col)
-    top = (own or lex).df.orderBy(F.desc("df"), F.asc("token")).limit(hot)
-    if own is not None:
-        top = top.select("token").join(lex.df, "token", "left")
-    top = F.broadcast(top)
-    df = F.coalesce(F.col("df"), F.lit(0))
-    frequent = counts.join(top.select("token", df.alias("df")), "token")
-    others = counts.join(top.select("token"), "token", "left_anti").join(lex.df, "token", "left")
+    priced = lex.df.select(
+        "token",
+        "df",
+        bucket_of(F.col("token"), dim).alias("bucket"),
+        idf_units(lex.n_docs, F.col("df")).alias("idf"),
+    )
+    top = (own or lex).df.orderBy(F.desc("df"), F.asc("token")).limit(hot).select("token")
+    # A token the corpus has not seen weighs as one with document frequency 0.
+    bucket = F.coalesce("bucket", bucket_of(F.col("token"), dim)).alias("bucket")
+    idf = F.coalesce("idf", idf_units(lex.n_docs, F.lit(0))).alias("idf")
+    priced_top = F.broadcast(top.join(priced, "token", "left").select("token", bucket, idf))
+    frequent = counts.join(priced_top, "token")
+    others = counts.join(F.broadcast(top), "token", "left_anti").join(priced, "token", "left")
 
     def weigh(rows):
-        return rows.select(
-            "id",
-            bucket_of(F.col("token"), dim).alias("bucket"),
-            (F.col("tf") * idf_units(lex.n_docs, df)).alias("weight"),
-        )
+        return rows.select("id", bucket, (F.col("tf") * idf).alias("weight"))
 
     every = docs.select(
         F.col(id_col).alias("id"), F.lit(-1).alias("bucket"), F.lit(0).cast("long").alias("weight")

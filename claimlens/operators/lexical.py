@@ -17,9 +17,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from claimlens.operators.encode import Lexicon, distinct_tokens, idf_units
+from claimlens.operators.encode import (
+    Lexicon,
+    distinct_tokens,
+    each_term,
+    idf_units,
+    lexicon_of,
+)
 from claimlens.operators.topk import (
     HITS_SCHEMA,
     RunningTopK,
@@ -39,13 +45,6 @@ BLOCK_ARTICLES = 65_536
 BLOCK_CLAIMS = 4_096
 
 
-def lexicon_of(terms: DataFrame) -> Lexicon:
-    df = terms.select(F.explode("terms").alias("token")).groupBy("token").agg(
-        F.count(F.lit(1)).alias("df")
-    )
-    return Lexicon(df, terms.select(F.count(F.lit(1))).scalar())
-
-
 def lexical_join(
     claims: DataFrame,
     articles: DataFrame,
@@ -63,7 +62,7 @@ def lexical_join(
 ) -> DataFrame:
     """(claim_id, item_id, score, rank): ties by article id; an article must share a word."""
     docs = distinct_tokens(articles, article_id, article_text)
-    lex = lexicon_of(docs)
+    lex = lexicon_of(docs, articles)
     terms = _weighted_terms(distinct_tokens(claims, claim_id, claim_text), lex)
     if strategy == "auto":
         small = _collect_claims(terms, broadcast_claims)
@@ -96,7 +95,7 @@ def _weighted_terms(claim_terms: DataFrame, lex: Lexicon) -> DataFrame:
     share is split over tasks by Spark's skew join, the lexicon has it once.
     The weight is the IDF in whole units plus one, so that sharing any word counts.
     """
-    rows = claim_terms.select(F.col("id").alias("query_id"), F.explode("terms").alias("token"))
+    rows = each_term(claim_terms).withColumnRenamed("id", "query_id")
     rows = rows.join(lex.df, "token").select(
         "query_id",
         F.struct("df", "token", (idf_units(lex.n_docs, F.col("df")) + 1).alias("weight")).alias("w"),
@@ -240,7 +239,7 @@ def _probe(
         ),
     )
     wanted = split.select("query_id", F.explode("probe.token").alias("token"))
-    postings = docs.select(F.col("id").alias("item_id"), F.explode("terms").alias("token"))
+    postings = each_term(docs).withColumnRenamed("id", "item_id")
     pairs = wanted.join(postings, "token").select("query_id", "item_id").distinct()
     shared = F.array_intersect(F.transform("words", lambda w: w["token"]), F.col("terms"))
     scored = (

@@ -51,7 +51,7 @@ def corpus_stats(spark, sf):
 
 
 def hashed_embedding(spark, sf):
-    docs = D.table(spark, sf, "documents")
+    docs = D.wide(D.table(spark, sf, "documents"))
     rows = E.bucket_weights(docs, "doc_id", "text", E.lexicon(docs, "doc_id", "text"))
     return rows.where("bucket >= 0").select(F.col("id").alias("doc_id"), "bucket", "weight")
 
@@ -78,7 +78,7 @@ def cosine_rescore(spark, sf):
 
 
 def knn_topk(spark, sf):
-    vecs = D.table(spark, sf, "embeddings")
+    vecs = D.wide(D.table(spark, sf, "embeddings"))
     return knn_join(vecs, vecs, 6, "vec_id", "vec_id")
 
 

@@ -32,6 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def wide(df: DataFrame) -> DataFrame:
+    """Spread a table that comes as fewer splits than there are cores.
+
+    A large table has more splits than that and is left alone, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def by_id(id_col: Column, values: tuple[str, ...]) -> Column:
     return F.element_at(
         F.array(*[F.lit(v) for v in values]), (F.pmod(id_col, F.lit(len(values))) + 1).cast("int")
@@ -43,7 +52,7 @@ def marked_text() -> Column:
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return wide(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("evidence_id"),
         marked_text().alias("text"),
         F.col("source").alias("source_url"),
@@ -78,7 +87,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.regexp_extract("html", "(?s)<article>(.*)</article>", 1)
     body = clean_text(F.regexp_replace(inner, "<[^>]*>", " "))
     return A.encyclopaedia(
-        table(spark, sf_dir, "pages").select(
+        wide(table(spark, sf_dir, "pages")).select(
             F.col("page_id").alias("article_id"), _title().alias("title"), body.alias("body")
         )
     )
@@ -87,7 +96,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.trim(F.regexp_extract("html", "<p>([^<]+)", 1))
     return A.news(
-        table(spark, sf_dir, "pages").select(
+        wide(table(spark, sf_dir, "pages")).select(
             F.col("page_id").alias("article_id"),
             _title().alias("title"),
             F.when(first != "", first).alias("description"),
