@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from claimlens.functions import text as X
-from claimlens.functions.vectors import dense, with_unit_vector
+from claimlens.functions.vectors import dense
 
 # An encoder maps (id, text) rows to (id, embedding) rows.
 Encoder = Callable[[DataFrame], DataFrame]
@@ -149,13 +149,15 @@ def encode(
 ) -> DataFrame:
     """(id, embedding ARRAY<FLOAT>): unit vectors; a text without tokens gets the zero vector."""
     weights = bucket_weights(docs, id_col, text_col, lex, own, dim)
+    # Entries and length come out of the aggregate, where no later filter or projection
+    # can move them into a per-element expression.
+    square = F.col("weight").cast("double") * F.col("weight").cast("double")
     rows = weights.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("bucket", "weight"))).alias("_e")
+        F.sort_array(F.collect_list(F.struct("bucket", "weight"))).alias("_e"),
+        F.sum(square).alias("_n2"),
     )
-    rows = rows.select("id", F.filter("_e", lambda e: e["bucket"] >= 0).alias("_e"))
-    rows = rows.select("id", dense(F.col("_e"), dim).alias("_v"))
-    unit = with_unit_vector(rows, "_v")
-    return unit.select(F.col("id").alias(id_col), F.col("_v").cast("array<float>").alias("embedding"))
+    vector = dense(F.col("_e"), dim, F.sqrt("_n2")).cast("array<float>")
+    return rows.select(F.col("id").alias(id_col), vector.alias("embedding"))
 
 
 def hashed_encoder(lex: Lexicon, id_col: str, text_col: str, dim: int = DIM) -> Encoder:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from claimlens.functions.vectors import SCORE_DIGITS
@@ -28,7 +29,8 @@ from claimlens.operators.topk import (
 )
 from claimlens.session import durable
 
-BROADCAST_BYTES = 32 << 20
+# Queries are broadcast up to this many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 8_192, 64 << 20
 MAX_PIVOTS = 1024
 BLOCK_ROWS = 16_384
 # Room for rounded scores and float storage when a cell is ruled out.
@@ -61,7 +63,7 @@ def knn_join(
     item_id: str,
     vector: str = "embedding",
     strategy: str = "auto",
-    broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_rows: int = BROADCAST_ROWS,
     max_pivots: int = MAX_PIVOTS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
@@ -72,12 +74,11 @@ def knn_join(
     """
     q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"))
     i = items.select(F.col(item_id).alias("item_id"), F.col(vector).alias("v"))
-    q, i = q.where("v is not null"), i.where("v is not null")
     small = None
     if strategy in ("auto", "broadcast"):
-        head = q.select(F.size("v").alias("n")).limit(1).collect()
-        dim = head[0]["n"] if head else 1
-        small = collect_if_small(q, broadcast_bytes // (8 * max(1, dim)))
+        small = collect_if_small(q, broadcast_rows)
+        if small is not None and small.nbytes > BROADCAST_BYTES:
+            small = None
         if small is None and strategy == "broadcast":
             raise ValueError("queries exceed the broadcast limit")
     if small is not None:
@@ -90,8 +91,8 @@ def knn_join(
 
 
 def _scan(items: DataFrame, queries: pa.Table, k: int) -> DataFrame:
-    n = queries.num_rows
-    if n == 0:
+    queries = queries.filter(pc.is_valid(queries.column("v")))
+    if queries.num_rows == 0:
         return items.sparkSession.createDataFrame([], HITS_SCHEMA)
     ids = _ids(queries.column("query_id"))
     dim = len(queries.column("v")[0])
@@ -101,6 +102,7 @@ def _scan(items: DataFrame, queries: pa.Table, k: int) -> DataFrame:
         qids, qmat = shared.value
         top = RunningTopK(len(qids), k)
         for b in batches:
+            b = b.filter(pc.is_valid(b.column(1)))
             if b.num_rows:
                 _offer_all(top, qmat, _matrix(b.column(1), qmat.shape[1]), _ids(b.column(0)))
         yield top.to_arrow(qids)
@@ -111,7 +113,7 @@ def _scan(items: DataFrame, queries: pa.Table, k: int) -> DataFrame:
 def _cells(q: DataFrame, i: DataFrame, k: int, max_pivots: int, block_rows: int) -> DataFrame:
     spark = q.sparkSession
     # Read several times below: fixed once, so that a costly encoder runs once.
-    q, i = durable(q), durable(i)
+    q, i = durable(q).where("v is not null"), durable(i).where("v is not null")
     n_items = i.count()
     if n_items == 0:
         return spark.createDataFrame([], HITS_SCHEMA)
