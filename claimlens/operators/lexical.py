@@ -14,6 +14,8 @@ just weigh little.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,14 +47,25 @@ BLOCK_ARTICLES = 65_536
 BLOCK_CLAIMS = 4_096
 
 
+@dataclass(frozen=True)
+class TermIndex:
+    """The distinct words of every article, (id, terms), and how many articles have each."""
+
+    terms: DataFrame
+    lex: Lexicon
+
+
+def term_index(articles: DataFrame, article_id: str, text: str) -> TermIndex:
+    terms = distinct_tokens(articles, article_id, text)
+    return TermIndex(terms, lexicon_of(terms, articles))
+
+
 def lexical_join(
     claims: DataFrame,
-    articles: DataFrame,
+    index: TermIndex,
     k: int,
     claim_id: str,
     claim_text: str,
-    article_id: str,
-    article_text: str,
     strategy: str = "auto",
     probe_words: int = PROBE_WORDS,
     probe_postings: int = PROBE_POSTINGS,
@@ -61,9 +74,9 @@ def lexical_join(
     block_claims: int = BLOCK_CLAIMS,
 ) -> DataFrame:
     """(claim_id, item_id, score, rank): ties by article id; an article must share a word."""
-    docs = distinct_tokens(articles, article_id, article_text)
-    lex = lexicon_of(docs, articles)
-    terms = _weighted_terms(distinct_tokens(claims, claim_id, claim_text), lex)
+    docs = index.terms
+    # Read by the size check, the scan and the probe: computed once.
+    terms = durable(_weighted_terms(distinct_tokens(claims, claim_id, claim_text), index.lex))
     if strategy == "auto":
         small = _collect_claims(terms, broadcast_claims)
         if small is not None:
@@ -71,10 +84,10 @@ def lexical_join(
         else:
             strategy = "probe"
     if strategy == "scan":
-        hits = _scan_any(durable(terms), docs, k, broadcast_claims, block_articles, block_claims)
+        hits = _scan_any(terms, docs, k, broadcast_claims, block_articles, block_claims)
     elif strategy == "probe":
         hits = _probe(
-            durable(terms),
+            terms,
             docs,
             k,
             probe_words,

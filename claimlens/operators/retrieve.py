@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from claimlens.functions.vectors import cosine
 from claimlens.operators.encode import Lexicon, encode, lexicon
 from claimlens.operators.knn import knn_join
-from claimlens.operators.lexical import lexical_join
+from claimlens.operators.lexical import TermIndex, lexical_join, term_index
+from claimlens.session import durable
 
 # Depth of the final cut and of each article source.
 DEFAULT_K, ENCYCLOPAEDIA_K, NEWS_K = 5, 2, 3
@@ -17,28 +18,55 @@ LOCAL, ENCYCLOPAEDIA, NEWS = 0, 1, 2
 LOCAL_SOURCE = "local"
 
 
+@dataclass(frozen=True)
+class Source:
+    """A landed article table (item_id, source, text), its words and the vectors of its texts."""
+
+    items: DataFrame
+    index: TermIndex
+    vectors: DataFrame
+
+
 @dataclass(frozen=True)
 class Corpus:
     """What claims are checked against.
 
     evidence(evidence_id, text, source_url), vectors(evidence_id, embedding) and the
-    lexicon that weighted them; articles and news as (item_id, source, text, body),
-    where body is what keywords are looked up in; None switches a source off.
+    lexicon that weighted them; articles and news are None when switched off.
     """
 
     evidence: DataFrame
     vectors: DataFrame
     lex: Lexicon
-    articles: DataFrame | None = None
-    news: DataFrame | None = None
+    articles: Source | None = None
+    news: Source | None = None
+
+    def sources(self) -> list[tuple[int, int, Source]]:
+        """(source rank, depth, source) of the keyword sources that are on."""
+        rows = ((ENCYCLOPAEDIA, ENCYCLOPAEDIA_K, self.articles), (NEWS, NEWS_K, self.news))
+        return [r for r in rows if r[2] is not None]
+
+
+def build_source(table: DataFrame, lex: Lexicon) -> Source:
+    """Index a landed table (item_id, source, text, body); words are looked up in body."""
+    vectors = encode(table, "item_id", "text", lex, lexicon(table, "item_id", "text"))
+    return Source(
+        table.select("item_id", "source", "text"), term_index(table, "item_id", "body"), vectors
+    )
 
 
 def build_corpus(
     evidence: DataFrame, articles: DataFrame | None = None, news: DataFrame | None = None
 ) -> Corpus:
-    """Index evidence with the default encoder."""
-    lex = lexicon(evidence, "evidence_id", "text")
-    return Corpus(evidence, encode(evidence, "evidence_id", "text", lex, None), lex, articles, news)
+    """Index evidence and articles with the default encoder.
+
+    Word frequencies are read by every later step, so they are written out once; the
+    rest stays lazy.
+    """
+    words = lexicon(evidence, "evidence_id", "text")
+    lex = Lexicon(durable(words.df), words.n_docs)
+    on = [None if t is None else build_source(t, lex) for t in (articles, news)]
+    return Corpus(evidence, encode(evidence, "evidence_id", "text", lex), lex, *on)
 
 
 def claim_vectors(claims: DataFrame, corpus: Corpus) -> DataFrame:
@@ -55,9 +83,9 @@ def local_hits(vectors: DataFrame, corpus: Corpus, k: int, **how) -> DataFrame:
     )
 
 
-def article_hits(claims: DataFrame, articles: DataFrame, k: int, source_rank: int, **how) -> DataFrame:
+def article_hits(claims: DataFrame, source: Source, k: int, source_rank: int, **how) -> DataFrame:
     """(claim_id, source_rank, pos, item_id, relevance) from a keyword source."""
-    hits = lexical_join(claims, articles, k, "claim_id", "text", "item_id", "body", **how)
+    hits = lexical_join(claims, source.index, k, "claim_id", "text", **how)
     return hits.select(
         "claim_id",
         F.lit(source_rank).alias("source_rank"),
@@ -74,37 +102,29 @@ def candidates(claims: DataFrame, vectors: DataFrame, corpus: Corpus, k: int) ->
     """
     none = F.lit(None).cast("double").alias("score")
     out = local_hits(vectors, corpus, k)
-    for source, depth, rank in (
-        (corpus.articles, ENCYCLOPAEDIA_K, ENCYCLOPAEDIA),
-        (corpus.news, NEWS_K, NEWS),
-    ):
-        if source is not None:
-            hits = article_hits(claims, source, depth, rank)
-            out = out.unionByName(hits.select("claim_id", "source_rank", "pos", "item_id", none))
+    for rank, depth, source in corpus.sources():
+        hits = article_hits(claims, source, depth, rank)
+        out = out.unionByName(hits.select("claim_id", "source_rank", "pos", "item_id", none))
     return out
 
 
 def rescore(cands: DataFrame, vectors: DataFrame, corpus: Corpus) -> DataFrame:
     """Cosine of claim and candidate text for every candidate.
 
-    Evidence hits carry that value already; only keyword hits need their vectors.
+    Evidence hits carry that value already; only keyword hits need their vectors. A
+    candidate without a vector keeps a null score.
     """
-    landed = [s for s in (corpus.articles, corpus.news) if s is not None]
-    if not landed:
+    items = None
+    for rank, _, source in corpus.sources():
+        part = source.vectors.select(F.lit(rank).alias("source_rank"), "item_id", "embedding")
+        items = part if items is None else items.unionByName(part)
+    if items is None:
         return cands
-    ranks = [r for s, r in ((corpus.articles, ENCYCLOPAEDIA), (corpus.news, NEWS)) if s is not None]
-    texts = None
-    for s, r in zip(landed, ranks, strict=True):
-        # One id space for both tables: id * 2 + source.
-        part = s.select((F.col("item_id") * 2 + (r - 1)).alias("key"), "text")
-        texts = part if texts is None else texts.unionByName(part)
-    item_vectors = encode(texts, "key", "text", corpus.lex, lexicon(texts, "key", "text"))
-    keyed = cands.where(F.col("source_rank") > LOCAL).withColumn(
-        "key", F.col("item_id") * 2 + (F.col("source_rank") - 1)
-    )
+    claim = vectors.select("claim_id", F.col("embedding").alias("claim_embedding"))
     scored = (
-        keyed.join(item_vectors, "key")
-        .join(vectors.withColumnRenamed("embedding", "claim_embedding"), "claim_id")
+        cands.where(F.col("source_rank") > LOCAL)
+        .join(items, ["source_rank", "item_id"], "left")
+        .join(claim, "claim_id", "left")
         .select(
             "claim_id",
             "source_rank",
@@ -132,17 +152,17 @@ def with_text(ranked: DataFrame, corpus: Corpus) -> DataFrame:
         F.coalesce("source_url", F.lit(LOCAL_SOURCE)).alias("source"),
         "text",
     )
-    for table, rank in ((corpus.articles, ENCYCLOPAEDIA), (corpus.news, NEWS)):
-        if table is not None:
-            items = items.unionByName(
-                table.select(F.lit(rank).alias("source_rank"), "item_id", "source", "text")
-            )
+    for rank, _, source in corpus.sources():
+        items = items.unionByName(
+            source.items.select(F.lit(rank).alias("source_rank"), "item_id", "source", "text")
+        )
     return ranked.join(items, ["source_rank", "item_id"])
 
 
 def retrieve(claims: DataFrame, corpus: Corpus, k: int = DEFAULT_K) -> DataFrame:
     """(claim_id, rank, source_rank, item_id, source, text, score), best first."""
-    vectors = claim_vectors(claims, corpus)
+    # Read by the evidence search and again for scoring: computed once.
+    vectors = durable(claim_vectors(claims, corpus))
     ranked = rerank(rescore(candidates(claims, vectors, corpus, k), vectors, corpus), k)
     return with_text(ranked, corpus).select(
         "claim_id", "rank", "source_rank", "item_id", "source", "text", "score"

@@ -10,6 +10,7 @@ from claimlens.functions import verdict as V
 from claimlens.functions.formatting import status_line, two_decimals
 from claimlens.operators import retrieve as R
 from claimlens.operators.generate import Generator
+from claimlens.session import durable
 
 # Depth of the pipeline's retrieval and the verdicts of the early exits.
 PIPELINE_K = 6
@@ -28,8 +29,10 @@ def attach_evidence(claims: DataFrame, corpus: R.Corpus | None, k: int = PIPELIN
     none = F.array().cast(S.EVIDENCE_LIST)
     if corpus is None:
         return claims.withColumn("evidence", none)
-    distinct = claims.where(~X.is_blank(F.col("text"))).groupBy("text").agg(
-        F.min("claim_id").alias("claim_id")
+    distinct = durable(
+        claims.where(~X.is_blank(F.col("text")))
+        .groupBy("text")
+        .agg(F.min("claim_id").alias("claim_id"))
     )
     hits = R.as_list(R.retrieve(distinct, corpus, k))
     found = distinct.join(hits, "claim_id").select("text", "evidence")

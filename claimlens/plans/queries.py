@@ -90,7 +90,9 @@ def knn_with_meta(spark, sf):
 
 
 def _article_candidates(spark, sf, articles, depth, rank):
-    hits = R.article_hits(D.claims(spark, sf), articles, depth, rank)
+    words = E.lexicon(articles, "item_id", "text")
+    source = R.build_source(articles, words)
+    hits = R.article_hits(D.claims(spark, sf), source, depth, rank)
     return hits.join(articles.select("item_id", "source", "text"), "item_id").select(
         "claim_id", "pos", "item_id", "source", "text", "relevance"
     )
@@ -293,19 +295,10 @@ def stream_ingest(spark, sf):
 
 
 def stored_corpus(spark, sf) -> R.Corpus:
-    """The corpus with its vectors and word counts written once, for use by many batches."""
-    corpus = D.corpus(spark, sf)
-    vectors, words = scratch_path(spark, "vectors"), scratch_path(spark, "words")
-    T.write_vectors(corpus.evidence, corpus.vectors, vectors)
-    corpus.lex.df.write.parquet(words)
-    table = spark.read.parquet(vectors)
-    return R.Corpus(
-        table.select("evidence_id", "text", "source_url"),
-        table.select("evidence_id", "embedding"),
-        E.Lexicon(spark.read.parquet(words), table.select(F.count(F.lit(1))).scalar()),
-        corpus.articles,
-        corpus.news,
-    )
+    """The corpus with its vectors and words written once, for use by many batches."""
+    path = scratch_path(spark, "corpus")
+    T.write_corpus(D.corpus(spark, sf), path)
+    return T.read_corpus(spark, path)
 
 
 def stream_analyze(spark, sf):

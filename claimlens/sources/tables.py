@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from claimlens import schemas as S
 from claimlens.functions import text as X
+from claimlens.operators import retrieve as R
+from claimlens.operators.encode import Lexicon
+from claimlens.operators.lexical import TermIndex
 
 # The three demo evidence rows.
 DEMO_EVIDENCE = [
@@ -68,8 +71,6 @@ def with_content_id(df: DataFrame, name: str) -> DataFrame:
     Copies are numbered within (hash, task) and then shifted by the copies of the
     tasks before, so no group of copies is pulled into one task.
     """
-    from pyspark.sql import Window as W
-
     cols = df.columns
     keyed = df.withColumn("_h", F.xxhash64(*cols)).withColumn("_p", F.spark_partition_id())
     keyed = keyed.withColumn("_m", F.monotonically_increasing_id())
@@ -134,6 +135,49 @@ def write_vectors(
     joined.select("evidence_id", "text", "source_url", "embedding").write.mode(mode).parquet(path)
 
 
+def write_corpus(corpus: R.Corpus, path: str) -> None:
+    """Persist a whole index: evidence with vectors, words, and the keyword sources."""
+    write_vectors(corpus.evidence, corpus.vectors, f"{path}/evidence")
+    corpus.lex.df.write.mode("overwrite").parquet(f"{path}/words")
+    for rank, _, source in corpus.sources():
+        table = source.items.join(
+            source.vectors.select("item_id", "embedding"), "item_id", "left"
+        ).join(source.index.terms.withColumnRenamed("id", "item_id"), "item_id", "left")
+        table.write.mode("overwrite").parquet(f"{path}/source-{rank}")
+        source.index.lex.df.write.mode("overwrite").parquet(f"{path}/source-{rank}-words")
+
+
+def read_corpus(spark: SparkSession, path: str) -> R.Corpus:
+    """An index written by `write_corpus`; a keyword source that is absent is off."""
+
+    def lexicon(words: str, table: DataFrame) -> Lexicon:
+        df = spark.read.schema("token string, df long").parquet(f"{path}/{words}")
+        return Lexicon(df, table.select(F.count(F.lit(1))).scalar())
+
+    def source(rank: int) -> R.Source | None:
+        try:
+            table = spark.read.parquet(f"{path}/source-{rank}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        terms = table.select(F.col("item_id").alias("id"), "terms")
+        return R.Source(
+            table.select("item_id", "source", "text"),
+            TermIndex(terms, lexicon(f"source-{rank}-words", table)),
+            table.select("item_id", "embedding"),
+        )
+
+    evidence = read_vectors(spark, f"{path}/evidence")
+    return R.Corpus(
+        evidence.select("evidence_id", "text", "source_url"),
+        evidence.select("evidence_id", "embedding"),
+        lexicon("words", evidence),
+        source(R.ENCYCLOPAEDIA),
+        source(R.NEWS),
+    )
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A parquet table, or no rows with its schema when there is none."""
     try:
