@@ -30,7 +30,7 @@ class Lexicon:
     """Document frequencies of a corpus: token, df; and the number of documents."""
 
     df: DataFrame
-    n_docs: Column
+    n_docs: int
 
 
 def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -64,8 +64,9 @@ def distinct_tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def lexicon(docs: DataFrame, id_col: str, text_col: str) -> Lexicon:
-    """Document frequencies; the count is combined in the map tasks before the shuffle."""
-    return lexicon_of(distinct_tokens(docs, id_col, text_col), docs)
+    """Word frequencies of a corpus. The number of documents is counted at once, which
+    for a stored table reads no column."""
+    return Lexicon(frequencies(distinct_tokens(docs, id_col, text_col)), docs.count())
 
 
 def each_term(terms: DataFrame) -> DataFrame:
@@ -75,13 +76,13 @@ def each_term(terms: DataFrame) -> DataFrame:
     return rows.where(F.col("token").isNotNull())
 
 
-def lexicon_of(terms: DataFrame, docs: DataFrame) -> Lexicon:
-    df = each_term(terms).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    return Lexicon(df, docs.select(F.count(F.lit(1))).scalar())
+def frequencies(terms: DataFrame) -> DataFrame:
+    """(token, df); the counts are combined in the map tasks before the shuffle."""
+    return each_term(terms).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def idf_units(n_docs: Column, df: Column) -> Column:
-    ratio = (n_docs.cast("double") + 1.0) / (df.cast("double") + 1.0)
+def idf_units(n_docs: int, df: Column) -> Column:
+    ratio = F.lit(n_docs + 1.0) / (df.cast("double") + 1.0)
     return F.round(F.log(ratio) * F.lit(IDF_UNITS)).cast("long")
 
 
@@ -96,7 +97,7 @@ def bucket_weights(
     id_col: str,
     text_col: str,
     lex: Lexicon,
-    own: Lexicon | None = None,
+    own: DataFrame | None = None,
     dim: int = DIM,
     hot: int = HOT_TOKENS,
 ) -> DataFrame:
@@ -105,7 +106,7 @@ def bucket_weights(
     The most frequent tokens of the texts being encoded meet their weight by a
     broadcast of at most `hot` rows and are never shuffled by token. What is left is
     joined by token; none of those can dominate, since `hot` others occur more often.
-    `own` gives the frequencies of the encoded texts when they are not the corpus of `lex`.
+    `own` gives the (token, df) of the encoded texts when they are not the corpus of `lex`.
     """
     counts = token_counts(docs, id_col, text_col)
     priced = lex.df.select(
@@ -114,7 +115,7 @@ def bucket_weights(
         bucket_of(F.col("token"), dim).alias("bucket"),
         idf_units(lex.n_docs, F.col("df")).alias("idf"),
     )
-    top = (own or lex).df.orderBy(F.desc("df"), F.asc("token")).limit(hot).select("token")
+    top = (lex.df if own is None else own).orderBy(F.desc("df"), F.asc("token")).limit(hot).select("token")
     # A token the corpus has not seen weighs as one with document frequency 0.
     bucket = F.coalesce("bucket", bucket_of(F.col("token"), dim)).alias("bucket")
     idf = F.coalesce("idf", idf_units(lex.n_docs, F.lit(0))).alias("idf")
@@ -144,7 +145,7 @@ def encode(
     id_col: str,
     text_col: str,
     lex: Lexicon,
-    own: Lexicon | None = None,
+    own: DataFrame | None = None,
     dim: int = DIM,
 ) -> DataFrame:
     """(id, embedding ARRAY<FLOAT>): unit vectors; a text without tokens gets the zero vector."""
@@ -164,7 +165,8 @@ def hashed_encoder(lex: Lexicon, id_col: str, text_col: str, dim: int = DIM) ->
     """The default encoder, weighted by a corpus lexicon."""
 
     def run(df: DataFrame) -> DataFrame:
-        return encode(df, id_col, text_col, lex, lexicon(df, id_col, text_col), dim)
+        own = frequencies(distinct_tokens(df, id_col, text_col))
+        return encode(df, id_col, text_col, lex, own, dim)
 
     return run
 

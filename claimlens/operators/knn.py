@@ -24,6 +24,7 @@ from claimlens.operators.topk import (
     RunningTopK,
     best_per_query,
     collect_if_small,
+    every,
     spread,
     steps,
 )
@@ -248,7 +249,7 @@ def _probe(
             "v",
             "cell",
             spread(F.col("query_id"), F.col("n_shares")).alias("share"),
-            F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).cast("long").alias("block"),
+            every(F.col("n_blocks")).alias("block"),
         )
     )
     right = (
@@ -258,7 +259,7 @@ def _probe(
             "item_id",
             "v",
             "cell",
-            F.explode(F.sequence(F.lit(0), F.col("n_shares") - 1)).cast("long").alias("share"),
+            every(F.col("n_shares")).alias("share"),
             spread(F.col("item_id"), F.col("n_blocks")).alias("block"),
         )
     )

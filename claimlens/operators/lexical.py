@@ -25,14 +25,15 @@ from claimlens.operators.encode import (
     Lexicon,
     distinct_tokens,
     each_term,
+    frequencies,
     idf_units,
-    lexicon_of,
 )
 from claimlens.operators.topk import (
     HITS_SCHEMA,
     RunningTopK,
     best_per_query,
     collect_if_small,
+    every,
     spread,
     steps,
 )
@@ -55,9 +56,9 @@ class TermIndex:
     lex: Lexicon
 
 
-def term_index(articles: DataFrame, article_id: str, text: str) -> TermIndex:
-    terms = distinct_tokens(articles, article_id, text)
-    return TermIndex(terms, lexicon_of(terms, articles))
+def term_index(terms: DataFrame) -> TermIndex:
+    """From (id, terms); read twice, so best from a stored table."""
+    return TermIndex(terms, Lexicon(durable(frequencies(terms)), terms.count()))
 
 
 def lexical_join(
@@ -207,12 +208,12 @@ def _scan_any(
         F.transform("words", lambda w: w["token"]).alias("tokens"),
         F.transform("words", lambda w: w["weight"]).alias("weights"),
         spread(F.col("query_id"), n_shares).alias("share"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long").alias("block"),
+        every(n_blocks).alias("block"),
     )
     right = docs.select(
         F.col("id").alias("item_id"),
         "terms",
-        F.explode(F.sequence(F.lit(0), F.lit(n_shares - 1))).cast("long").alias("share"),
+        every(n_shares).alias("share"),
         spread(F.col("id"), n_blocks).alias("block"),
     )
 

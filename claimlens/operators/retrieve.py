@@ -6,8 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from claimlens.functions import text as X
 from claimlens.functions.vectors import cosine
-from claimlens.operators.encode import Lexicon, encode, lexicon
+from claimlens.operators.encode import Lexicon, encode, hashed_encoder, lexicon
 from claimlens.operators.knn import knn_join
 from claimlens.operators.lexical import TermIndex, lexical_join, term_index
 from claimlens.session import durable
@@ -48,10 +49,16 @@ class Corpus:
 
 
 def build_source(table: DataFrame, lex: Lexicon) -> Source:
-    """Index a landed table (item_id, source, text, body); words are looked up in body."""
-    vectors = encode(table, "item_id", "text", lex, lexicon(table, "item_id", "text"))
+    """Index a landed table (item_id, source, text, body); words are looked up in body.
+
+    The rows with their words are written out once and serve every later read.
+    """
+    words = F.array_distinct(X.tokens(F.col("body"))).alias("terms")
+    landed = durable(table.select("item_id", "source", "text", words))
     return Source(
-        table.select("item_id", "source", "text"), term_index(table, "item_id", "body"), vectors
+        landed.select("item_id", "source", "text"),
+        term_index(landed.select(F.col("item_id").alias("id"), "terms")),
+        hashed_encoder(lex, "item_id", "text")(landed),
     )
 
 
@@ -70,9 +77,7 @@ def build_corpus(
 
 
 def claim_vectors(claims: DataFrame, corpus: Corpus) -> DataFrame:
-    return encode(
-        claims, "claim_id", "text", corpus.lex, lexicon(claims, "claim_id", "text")
-    )
+    return hashed_encoder(corpus.lex, "claim_id", "text")(claims)
 
 
 def local_hits(vectors: DataFrame, corpus: Corpus, k: int, **how) -> DataFrame:

@@ -76,3 +76,9 @@ def collect_if_small(df: DataFrame, max_rows: int) -> pa.Table | None:
 def spread(key: Column, n: Column | int) -> Column:
     """Even, repeatable share 0..n-1 of a key."""
     return F.pmod(F.xxhash64(key), n if isinstance(n, Column) else F.lit(n)).cast("long")
+
+
+def every(n: Column | int) -> Column:
+    """One row for each of 0..n-1."""
+    top = n if isinstance(n, Column) else F.lit(n)
+    return F.explode(F.sequence(F.lit(0).cast("long"), top.cast("long") - 1))

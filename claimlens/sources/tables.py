@@ -152,7 +152,7 @@ def read_corpus(spark: SparkSession, path: str) -> R.Corpus:
 
     def lexicon(words: str, table: DataFrame) -> Lexicon:
         df = spark.read.schema("token string, df long").parquet(f"{path}/{words}")
-        return Lexicon(df, table.select(F.count(F.lit(1))).scalar())
+        return Lexicon(df, table.count())
 
     def source(rank: int) -> R.Source | None:
         try:
