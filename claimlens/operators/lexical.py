@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from claimlens.operators.encode import (
+    HOT_TOKENS,
     Lexicon,
     distinct_tokens,
     each_term,
@@ -89,7 +90,7 @@ def lexical_join(
     elif strategy == "probe":
         hits = _probe(
             terms,
-            docs,
+            index,
             k,
             probe_words,
             probe_postings,
@@ -235,7 +236,7 @@ def _scan_any(
 
 def _probe(
     terms: DataFrame,
-    docs: DataFrame,
+    index: TermIndex,
     k: int,
     probe_words: int,
     probe_postings: int,
@@ -243,6 +244,7 @@ def _probe(
     block_articles: int,
     block_claims: int,
 ) -> DataFrame:
+    docs = index.terms
     # Rarest words first, so the probe words are a prefix; the rest bounds unseen articles.
     probe = F.filter(
         F.slice("words", 1, probe_words), lambda w: w["df"] <= F.lit(probe_postings)
@@ -256,7 +258,15 @@ def _probe(
         ),
     )
     wanted = split.select("query_id", F.explode("probe.token").alias("token"))
+    # No probe word is that frequent: the bulk of the postings never reaches the shuffle.
+    frequent = F.broadcast(
+        index.lex.df.where(F.col("df") > probe_postings)
+        .orderBy(F.desc("df"), F.asc("token"))
+        .limit(HOT_TOKENS)
+        .select("token")
+    )
     postings = each_term(docs).withColumnRenamed("id", "item_id")
+    postings = postings.join(frequent, "token", "left_anti")
     pairs = wanted.join(postings, "token").select("query_id", "item_id").distinct()
     shared = F.array_intersect(F.transform("words", lambda w: w["token"]), F.col("terms"))
     scored = (

@@ -32,7 +32,8 @@ def evidence_scan(spark, sf):
 
 
 def clean_text(spark, sf):
-    return D.table(spark, sf, "documents").select("doc_id", X.clean_text(F.col("text")).alias("text"))
+    docs = D.wide(D.table(spark, sf, "documents"))
+    return docs.select("doc_id", X.clean_text(F.col("text")).alias("text"))
 
 
 def label_normalize(spark, sf):
