@@ -94,17 +94,20 @@ def batch_row(analysed: DataFrame, run_id: str, batch_seq: int, started_at) -> D
     )
 
 
-def history_rows(analysis: DataFrame) -> DataFrame:
-    """What the history keeps of every analysed claim."""
-    return analysis.select(
+def history_rows(analysis: DataFrame, batch_seq: int | None = None) -> DataFrame:
+    """What the history keeps of every analysed claim; with a batch number, ready to append."""
+    rows = analysis.select(
         "claim_id",
         preview(F.col("text")).alias("preview"),
         F.coalesce("label", F.lit(DEFAULT_LABEL)).alias("label"),
         "confidence",
         "status",
     )
+    if batch_seq is None:
+        return rows
+    return rows.select(F.lit(batch_seq).cast("long").alias("seq"), *rows.columns)
 
 
-def recent_history(history: DataFrame, seq: str = "seq", n: int = 10) -> DataFrame:
-    """The last n entries, newest first."""
-    return history.orderBy(F.desc(seq)).limit(n)
+def recent_history(history: DataFrame, *order: str, n: int = 10) -> DataFrame:
+    """The last n entries, newest first; by batch and claim unless told otherwise."""
+    return history.orderBy(*[F.desc(c) for c in order or ("seq", "claim_id")]).limit(n)

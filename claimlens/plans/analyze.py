@@ -47,11 +47,15 @@ def analyze(
     k: int = PIPELINE_K,
     updates: int = 1,
     with_counted: bool = False,
+    trim_input: bool = True,
 ) -> DataFrame:
     """One row per claim: verdict, status and evidence (schema `ANALYSIS`).
 
+    Claims are trimmed at both ends first, as typed input is; inner whitespace stays.
     `updates` is the number of this batch in its run and shows in the status.
     """
+    if trim_input:
+        claims = claims.withColumn("text", X.strip(F.col("text")))
     rows = attach_evidence(claims, corpus, k)
     rows = rows.withColumn("_texts", V.evidence_texts(F.col("evidence")))
     rows = rows.withColumn("prompt", V.prompt(F.col("text"), F.col("_texts")))

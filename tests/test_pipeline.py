@@ -144,3 +144,9 @@ def test_corpus_survives_storage(spark, corpus, claims, tmp_path):
     bare = R.Corpus(corpus.evidence, corpus.vectors, corpus.lex)
     T.write_corpus(bare, str(tmp_path / "d"))
     assert T.read_corpus(spark, str(tmp_path / "d")).sources() == []
+
+
+def test_input_is_trimmed(spark, corpus):
+    df = spark.createDataFrame([(1, " Earth  is flat\n")], "claim_id long, text string")
+    assert P.analyze(df, None, None).first().text == "Earth  is flat"
+    assert P.analyze(df, None, None, trim_input=False).first().text == " Earth  is flat\n"

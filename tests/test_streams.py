@@ -1,6 +1,7 @@
 from claimlens.operators import generate as G
 from claimlens.operators import ledger as L
 from claimlens.plans.analyze import analyze
+from claimlens.sources import tables as T
 from claimlens.streaming import claims as St
 
 START = "2024-01-01 00:00:00"
@@ -25,11 +26,14 @@ def test_scored_stream_equals_batch_and_feeds_the_ledger(spark, tmp_path):
     )
     outs = spark.range(9).selectExpr("id as claim_id", "concat('It is true ', id) as raw_output")
     gen = G.precomputed(outs)
-    land, out, state, led = (str(tmp_path / n) for n in ("land", "out", "state", "ledger"))
+    land, out, state, led, log = (
+        str(tmp_path / n) for n in ("land", "out", "state", "ledger", "history")
+    )
     St.land_claim_stream(St.claim_stream_rows(claims, START), land, files=3)
 
     def keep(df, batch_id, started):
         L.batch_row(df, "run", batch_id, started).write.mode("append").parquet(led)
+        T.append_history(L.history_rows(df, batch_id), log)
 
     def run():
         St.score_claims(
@@ -48,6 +52,8 @@ def test_scored_stream_equals_batch_and_feeds_the_ledger(spark, tmp_path):
     assert got == batch.select(cols).orderBy("claim_id").collect()
     last = L.ledger(spark.read.parquet(led)).orderBy("batch_seq").collect()[-1]
     assert last.steps == 8 and last.updates == 3
+    newest = L.recent_history(T.read_history(spark, log), n=4).collect()
+    assert len(newest) == 4 and newest[0].seq == 2
 
 
 def events(spark, path, files):
