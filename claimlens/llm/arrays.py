@@ -159,6 +159,11 @@ def distinct(text: np.ndarray, feature: np.ndarray, n_features: int) -> tuple[np
     return key // n_features, key % n_features, count
 
 
+def list_sizes(lists: pa.Array) -> np.ndarray:
+    """Length of each list; 0 for null."""
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def spread_sum(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     """Sum of values[ptr[i]:ptr[i+1]] for each i; 0 for an empty range."""
     total = np.concatenate([np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, axis=0)])

@@ -197,7 +197,7 @@ def train(sample: DataFrame) -> Machine:
     def flat(name: str) -> np.ndarray:
         return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
-    sizes = np.array([len(x) for x in table.column("feature")], dtype=np.int64)
+    sizes = A.list_sizes(table.column("feature"))
     text = np.repeat(np.arange(len(labels)), sizes)
     stats = flat("stats").reshape(-1, N_STATS)
     return fit([(text, flat("feature").astype(np.int64), flat("share").astype(np.float64), stats)], labels)

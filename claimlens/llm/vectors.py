@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from claimlens.llm import arrays as A
 from claimlens.llm.components import components
 from claimlens.session import durable
 
@@ -123,7 +124,7 @@ def near_duplicates(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sizes = np.array([len(x) for x in batch.column("v")])
+            sizes = A.list_sizes(batch.column("v"))
             ids, members = (batch.column(c).to_numpy() for c in ("rep", "members"))
             flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
             at = np.concatenate([[0], np.cumsum(sizes)])
