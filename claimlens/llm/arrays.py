@@ -168,3 +168,20 @@ def spread_sum(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     """Sum of values[ptr[i]:ptr[i+1]] for each i; 0 for an empty range."""
     total = np.concatenate([np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, axis=0)])
     return total[ptr[1:]] - total[ptr[:-1]]
+
+
+def groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal integer keys, from sorted rows; holds one run and one batch."""
+    carry = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if carry is None else pa.concat_tables([carry, table])
+        code = np.stack([table.column(c).to_numpy().astype(np.int64) for c in columns], axis=1)
+        bounds = [0, *(np.flatnonzero((code[1:] != code[:-1]).any(1)) + 1).tolist()]
+        for a, b in zip(bounds, bounds[1:]):
+            yield table.slice(a, b - a)
+        carry = table.slice(bounds[-1])
+    if carry is not None and carry.num_rows:
+        yield carry

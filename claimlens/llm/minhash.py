@@ -42,7 +42,9 @@ SHINGLE, MIN_SIMILARITY = 5, 0.8
 # Texts of similarity 0.8 share one of the bands with probability 0.997.
 BANDS, BAND_ROWS = 32, 8
 # A text is sent once to each of these shares of the texts that are compared with it.
-SHARES = 1_024
+SHARES = 64
+# Texts of a bucket that are compared in one task.
+BLOCK = 512
 
 # Upper ends of the cells that ranks are cut into: doubling up to 4, then steps of 4.
 _FIRST, _STEP = -6, 4.0
@@ -199,6 +201,74 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, min_similarity:
     return durable(sorted_.mapInArrow(compare, "a long, b long"))
 
 
+def _joined(regions_: list[np.ndarray], root: np.ndarray, side: np.ndarray, min_similarity: float):
+    """Positions of links that join different roots of a group, one for each joining.
+
+    Only pairs of different sides count, unless all are of one side. The texts of the
+    most frequent root need no search of their own: each pair across has another end.
+    """
+    sizes = np.array([len(r) for r in regions_])
+    everything = np.concatenate(regions_)
+    by = np.argsort(everything, kind="stable")
+    value, owner = everything[by], np.repeat(np.arange(len(sizes)), sizes)[by]
+    two_sided = side.min() != side.max()
+    names, count = np.unique(root, return_counts=True)
+    most = names[count.argmax()]
+    now = root.copy()
+    out = []
+    for i in np.flatnonzero(root != most):
+        if (now == now[0]).all():
+            break
+        lo = np.searchsorted(value, regions_[i])
+        hi = np.searchsorted(value, regions_[i], side="right")
+        size = hi - lo
+        at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+        common = np.bincount(owner[at], minlength=len(sizes))
+        near = common >= min_similarity * (sizes[i] + sizes - common) - 1e-9
+        near &= now != now[i]
+        if two_sided:
+            near &= side != side[i]
+        for j in np.flatnonzero(near):
+            if now[j] != now[i]:
+                out.append((i, j))
+                now[now == now[j]] = now[i]
+    return out
+
+
+def _across(rest: DataFrame, texts: DataFrame, shingle: int, min_similarity: float, block: int) -> DataFrame:
+    """Links (a, b) between texts of different components in one bucket.
+
+    rest: (key, b, root, n), a row for each text of a bucket of n. Large buckets are cut
+    into blocks and each pair of blocks is a group.
+    """
+    rows = rest.withColumn("s", F.ceil(F.col("n") / block).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("b"), F.col("s")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select(
+        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "root", "b"
+    )
+    rows = rows.join(texts.withColumnRenamed("c", "b"), "b")
+    group = ["key", "lo", "hi"]
+
+    def compare(batches):
+        for run in A.groups(batches, group):
+            roots = run.column("root").to_numpy()
+            if (roots == roots[0]).all():
+                continue
+            found: list[np.ndarray] = []
+            for batch in run.combine_chunks().to_batches():
+                for part in A.by_bytes(batch, "text"):
+                    region, ptr = regions(A.words(part.column("text")), shingle)
+                    found += [np.sort(region[a:b]) for a, b in zip(ptr, ptr[1:])]
+            ids = run.column("b").to_numpy()
+            links = _joined(found, roots, run.column("own").to_numpy(), min_similarity)
+            if links:
+                i, j = np.array(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
+
+    sorted_ = rows.repartition(*group).sortWithinPartitions(*group)
+    return durable(sorted_.mapInArrow(compare, "a long, b long"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -207,6 +277,7 @@ def near_duplicates(
     min_similarity: float = MIN_SIMILARITY,
     bands: int = BANDS,
     rows: int = BAND_ROWS,
+    block: int = BLOCK,
 ) -> DataFrame:
     """(key, component) of each different text that is linked with another text.
 
@@ -249,15 +320,20 @@ def near_duplicates(
     root = shared.join(found.withColumnRenamed("id", "b"), "b", "left").select(
         "key", "b", F.coalesce("component", "b").alias("root")
     )
-    open_ = root.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    rest = durable(root.join(open_.select("key"), "key"))
-    one, two = rest.toDF("key", "a", "ra"), rest.toDF("key", "b", "rb")
-    across = one.join(two, "key").where("ra != rb and a < b").select("a", "b").distinct()
-    # Looked at already.
-    across = durable(across.join(pairs, ["a", "b"], "left_anti"))
-    if across.isEmpty():
+    code = F.xxhash64("b").cast("decimal(20,0)")
+    open_ = root.groupBy("key").agg(
+        F.min("root").alias("lo"),
+        F.max("root").alias("hi"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum(code).alias("s"),
+        F.bit_xor(F.hash("b")).alias("x"),
+    )
+    # Buckets of the same texts are looked at once.
+    open_ = open_.where("lo < hi").groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key", "n")
+    rest = durable(root.join(open_, "key"))
+    if rest.isEmpty():
         return found.select(F.col("id").alias("key"), "component")
-    more = _verified(across, texts, shingle, min_similarity)
+    more = _across(rest, texts, shingle, min_similarity, block)
     found = components(links.unionByName(more), "a", "b")
     return found.select(F.col("id").alias("key"), "component")
 
