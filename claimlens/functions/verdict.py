@@ -38,6 +38,11 @@ CONSENSUS_COUNTERFACTUAL = (
 CONFIRMING = ("confirm", "proves")
 DOUBTING = ("no evidence", "unclear")
 
+# Text that Python's float() reads as a number.
+_NUMBER = (
+    r"(?i)^\s*[+-]?(?:(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:e[+-]?\d+(?:_\d+)*)?"
+    r"|nan|inf(?:inity)?)\s*$"
+)
 _FIELDS = ("label", "confidence", "explanation", "counterfactual", "reasoning")
 
 
@@ -104,14 +109,14 @@ def with_parsed_output(df: DataFrame, raw: str = "raw_output", out: str = "verdi
     number = (
         F.when((given == "true") & (bare_bool == "true"), F.lit(1.0))
         .when((given == "false") & (bare_bool == "false"), F.lit(0.0))
-        .otherwise(given.try_cast("double"))
+        .otherwise(F.when(given.rlike(_NUMBER), F.regexp_replace(given, "_", "").try_cast("double")))
     )
     df = df.withColumn("_conf", F.when(has("confidence"), number).otherwise(F.lit(JSON_CONFIDENCE)))
     broken = (
         F.col("_keys").isNull()
         | F.col("_p._bad").isNotNull()
         | F.col("_conf").isNull()
-        | ~t.rlike(rf"(?U)\}}{SPACE}*\z")
+        | ~t.rlike(r"\}[ \t\r\n]*\z")
     )
 
     def field(key, default):

@@ -41,6 +41,8 @@ SLACK = 1e-5
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if len(column) and not pc.all(pc.equal(pc.list_value_length(column), dim)).as_py():
+        raise ValueError(f"a vector does not have the {dim} components of the first query")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), dim)
 
@@ -56,6 +58,13 @@ def _offer_all(top: RunningTopK, queries: np.ndarray, items: np.ndarray, ids: np
         top.offer(np.round(queries @ items[part].T, SCORE_DIGITS), ids[part])
 
 
+def _usable(df: DataFrame, id_col: str, name: str, vector: str) -> DataFrame:
+    """(id as long, v as array<double>) of the rows that can be compared."""
+    fine = F.forall("v", lambda x: x.isNotNull() & (x * 0 == 0)) & (F.size("v") > 0)
+    rows = df.select(F.col(id_col).cast("long").alias(name), F.col(vector).cast("array<double>").alias("v"))
+    return rows.where(F.col("v").isNotNull() & fine)
+
+
 def knn_join(
     queries: DataFrame,
     items: DataFrame,
@@ -70,16 +79,19 @@ def knn_join(
 ) -> DataFrame:
     """(query_id, item_id, score, rank): the k best items per query, ties by item id.
 
-    Scores are rounded to the ranking precision. Rows with a null vector take no part;
-    with fewer than k items all of them are returned.
+    Scores are rounded to the ranking precision. Rows whose vector is null, empty, or holds a
+    null or a number that is not finite take no part; vectors of different lengths are an
+    error. With fewer than k items all of them are returned.
     """
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"))
-    i = items.select(F.col(item_id).alias("item_id"), F.col(vector).alias("v"))
+    q, i = _usable(queries, query_id, "query_id", vector), _usable(items, item_id, "item_id", vector)
     small = None
     if strategy in ("auto", "broadcast"):
-        small = collect_if_small(q, broadcast_rows)
-        if small is not None and small.nbytes > BROADCAST_BYTES:
-            small = None
+        # Rows and bytes are counted in Spark before anything is collected.
+        size = q.limit(broadcast_rows + 1).agg(
+            F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(8 * F.size("v")), F.lit(0)).alias("bytes")
+        ).first()
+        if size["n"] <= broadcast_rows and size["bytes"] <= BROADCAST_BYTES:
+            small = collect_if_small(q, broadcast_rows)
         if small is None and strategy == "broadcast":
             raise ValueError("queries exceed the broadcast limit")
     if small is not None:
@@ -92,7 +104,6 @@ def knn_join(
 
 
 def _scan(items: DataFrame, queries: pa.Table, k: int) -> DataFrame:
-    queries = queries.filter(pc.is_valid(queries.column("v")))
     if queries.num_rows == 0:
         return items.sparkSession.createDataFrame([], HITS_SCHEMA)
     ids = _ids(queries.column("query_id"))
@@ -103,7 +114,6 @@ def _scan(items: DataFrame, queries: pa.Table, k: int) -> DataFrame:
         qids, qmat = shared.value
         top = RunningTopK(len(qids), k)
         for b in batches:
-            b = b.filter(pc.is_valid(b.column(1)))
             if b.num_rows:
                 _offer_all(top, qmat, _matrix(b.column(1), qmat.shape[1]), _ids(b.column(0)))
         yield top.to_arrow(qids)
@@ -114,7 +124,7 @@ def _scan(items: DataFrame, queries: pa.Table, k: int) -> DataFrame:
 def _cells(q: DataFrame, i: DataFrame, k: int, max_pivots: int, block_rows: int) -> DataFrame:
     spark = q.sparkSession
     # Read several times below: fixed once, so that a costly encoder runs once.
-    q, i = durable(q).where("v is not null"), durable(i).where("v is not null")
+    q, i = durable(q), durable(i)
     n_items = i.count()
     if n_items == 0:
         return spark.createDataFrame([], HITS_SCHEMA)
@@ -147,8 +157,9 @@ def _cells(q: DataFrame, i: DataFrame, k: int, max_pivots: int, block_rows: int)
                     names=["item_id", "v", "cell", "dist", "norm2"],
                 )
 
-    placed = i.mapInArrow(
-        assign, "item_id long, v array<float>, cell long, dist double, norm2 double"
+    # Read for the sizes of cells and by both probes: placed once.
+    placed = durable(
+        i.mapInArrow(assign, "item_id long, v array<double>, cell long, dist double, norm2 double")
     )
     # One row per pivot, so the driver sees at most max_pivots of them.
     stats = (
@@ -211,7 +222,7 @@ def _cells(q: DataFrame, i: DataFrame, k: int, max_pivots: int, block_rows: int)
 
         return task
 
-    schema = "query_id long, v array<float>, cell long"
+    schema = "query_id long, v array<double>, cell long"
     home = _probe(
         q.mapInArrow(route(True), schema), placed, sizes, k, dim, block_rows
     )
@@ -238,6 +249,8 @@ def _probe(
     Both `sizes` and `load` have one row per cell, at most MAX_PIVOTS rows, which is
     what makes broadcasting them safe.
     """
+    # The routes are read for the load and for the join.
+    routes = durable(routes)
     load = routes.groupBy("cell").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("long").alias("n_shares")
     )

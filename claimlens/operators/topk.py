@@ -21,8 +21,9 @@ class RunningTopK:
         self.item = np.full((n_queries, k), np.iinfo(np.int64).max, dtype=np.int64)
 
     def offer(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        """scores is queries x items; -inf marks a pair that is no hit."""
+        """scores is queries x items; -inf marks a pair that is no hit, as does NaN."""
         k = self.k
+        scores = np.where(np.isnan(scores), -np.inf, scores)
         floor = self.score[:, -1]
         if scores.shape[1] > k:
             kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]

@@ -90,7 +90,7 @@ WIKI = f"""wiki AS MATERIALIZED (SELECT id, 'https://en.wikipedia.org/wiki/' ||
   FROM (SELECT page_id AS id, {TITLE} AS title, {BODY} AS body FROM pages))"""
 NEWS = f"""news AS MATERIALIZED (SELECT page_id AS id, url AS source,
     left({TITLE} || '. ' || coalesce({DESCRIPTION}, ''), 1000) AS text,
-    left({TITLE} || '. ' || coalesce({DESCRIPTION}, ''), 1000) AS body
+    concat_ws(' ', {TITLE}, {DESCRIPTION}, {BODY}) AS body
   FROM pages WHERE regexp_extract(html, 'lang="([a-z]+)"', 1) = 'en')"""
 
 
@@ -310,6 +310,10 @@ KNN = """SELECT vec_id, item_id, score, rank FROM (SELECT *, row_number() OVER
       round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
     FROM embeddings a CROSS JOIN embeddings b)) WHERE rank <= 6"""
 
+# Vectors as `knn_dirty_vectors` changes them, without those that take no part.
+CLEAN = """(SELECT vec_id, CASE WHEN vec_id % 7 = 2 THEN list_transform(embedding, lambda x: 0.0::FLOAT)
+    ELSE embedding END AS embedding FROM embeddings WHERE vec_id % 7 NOT IN (1, 3, 4, 5))"""
+
 
 def article_candidates(t: str, depth: int) -> str:
     return sql(
@@ -342,12 +346,16 @@ ORACLE_SQL: dict[str, str] = {
         FROM embeddings a JOIN embeddings b ON a.label = b.label
         WHERE b.vec_id = (SELECT min(vec_id) FROM embeddings c WHERE c.label = a.label)""",
     "knn_topk": KNN,
+    "knn_topk_cells": KNN,
+    "knn_dirty_vectors": KNN.replace("FROM embeddings a CROSS JOIN embeddings b", f"FROM {CLEAN} a CROSS JOIN {CLEAN} b"),
     "knn_with_meta": sql(
         BASE,
         """SELECT claim_id, pos, item_id, source, text, score
         FROM local_hits JOIN ev ON ev.id = item_id""",
     ),
     "wiki_candidates": article_candidates("wiki", 2),
+    "wiki_candidates_probe": article_candidates("wiki", 2),
+    "wiki_candidates_blocks": article_candidates("wiki", 2),
     "news_candidates": article_candidates("news", 3),
     "candidates": sql([*BASE, *SOURCES, CANDIDATES], "SELECT * FROM cand"),
     "retrieve": sql(RETRIEVE, "SELECT * FROM hits"),

@@ -83,6 +83,29 @@ def knn_topk(spark, sf):
     return knn_join(vecs, vecs, 6, "vec_id", "vec_id")
 
 
+def knn_topk_cells(spark, sf):
+    """The plan for many queries, with small blocks."""
+    vecs = D.table(spark, sf, "embeddings")
+    return knn_join(vecs, vecs, 6, "vec_id", "vec_id", strategy="cells", max_pivots=16, block_rows=64)
+
+
+def knn_dirty_vectors(spark, sf):
+    """Null, zero, NaN and infinite vectors among the items, chosen by id."""
+    vecs, bad = D.table(spark, sf, "embeddings"), F.pmod(F.col("vec_id"), F.lit(7))
+    dirty = vecs.select(
+        "vec_id",
+        F.when(bad == 1, F.lit(None))
+        .when(bad == 2, F.transform("embedding", lambda x: F.lit(0.0)))
+        .when(bad == 3, F.transform("embedding", lambda x: F.lit(float("nan"))))
+        .when(bad == 4, F.transform("embedding", lambda x, i: F.when(i > 0, x).otherwise(float("inf"))))
+        .when(bad == 5, F.transform("embedding", lambda x, i: F.when(i > 0, x)))
+        .otherwise(F.col("embedding"))
+        .cast("array<float>")
+        .alias("embedding"),
+    )
+    return knn_join(dirty, dirty, 6, "vec_id", "vec_id")
+
+
 def knn_with_meta(spark, sf):
     corpus = R.build_corpus(D.evidence(spark, sf))
     claims = D.claims(spark, sf)
@@ -90,10 +113,10 @@ def knn_with_meta(spark, sf):
     return R.with_text(hits, corpus).select("claim_id", "pos", "item_id", "source", "text", "score")
 
 
-def _article_candidates(spark, sf, articles, depth, rank):
+def _article_candidates(spark, sf, articles, depth, rank, **how):
     words = E.lexicon(articles, "item_id", "text")
     source = R.build_source(articles, words)
-    hits = R.article_hits(D.claims(spark, sf), source, depth, rank)
+    hits = R.article_hits(D.claims(spark, sf), source, depth, rank, **how)
     return hits.join(articles.select("item_id", "source", "text"), "item_id").select(
         "claim_id", "pos", "item_id", "source", "text", "relevance"
     )
@@ -105,6 +128,20 @@ def wiki_candidates(spark, sf):
     )
 
 
+def wiki_candidates_probe(spark, sf):
+    """The plan for many claims: by the rarest words, the rest in blocks."""
+    how = {"strategy": "probe", "broadcast_claims": 4, "block_articles": 100, "block_claims": 16}
+    articles = D.articles(spark, sf)
+    return _article_candidates(spark, sf, articles, R.ENCYCLOPAEDIA_K, R.ENCYCLOPAEDIA, **how)
+
+
+def wiki_candidates_blocks(spark, sf):
+    """All claims against all articles, block by block."""
+    how = {"strategy": "scan", "broadcast_claims": 4, "block_articles": 100, "block_claims": 16}
+    articles = D.articles(spark, sf)
+    return _article_candidates(spark, sf, articles, R.ENCYCLOPAEDIA_K, R.ENCYCLOPAEDIA, **how)
+
+
 def news_candidates(spark, sf):
     return _article_candidates(spark, sf, D.news(spark, sf), R.NEWS_K, R.NEWS)
 
@@ -383,6 +420,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         knn_with_meta,
         wiki_candidates,
         news_candidates,
+        knn_topk_cells,
+        knn_dirty_vectors,
+        wiki_candidates_probe,
+        wiki_candidates_blocks,
         candidates,
         retrieve,
         retrieve_stats,

@@ -20,7 +20,9 @@ VECTORS = _struct(
     evidence_id=LONG, text=STRING, source_url=STRING, embedding=T.ArrayType(T.FloatType())
 )
 ARTICLES = _struct(article_id=LONG, title=STRING, body=STRING)
-NEWS = _struct(article_id=LONG, title=STRING, description=STRING, url=STRING, lang=STRING)
+NEWS = _struct(
+    article_id=LONG, title=STRING, description=STRING, content=STRING, url=STRING, lang=STRING
+)
 MODEL_OUTPUTS = _struct(claim_id=LONG, raw_output=STRING)
 BATCHES = _struct(run_id=STRING, batch_seq=LONG, n_rows=LONG, started_at=TS, finished_at=TS)
 HISTORY = _struct(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,11 +28,25 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers once per application, so that kernels can be loaded there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_claimlens_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="claimlens-package-")
+    archive = shutil.make_archive(os.path.join(folder, "claimlens"), "zip", root, "claimlens")
+    sc.addPyFile(archive)
+    sc._claimlens_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder, or a fresh local one where none is set."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         path = tempfile.mkdtemp(prefix="claimlens-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)

@@ -22,7 +22,11 @@ def encyclopaedia(articles: DataFrame, base: str = X.ARTICLE_BASE_URL) -> DataFr
 
 
 def news(articles: DataFrame, lang: str = "en", enabled: bool = True) -> DataFrame:
-    """From (article_id, title, description, url, lang): one language, snippet as text."""
+    """From (article_id, title, description, content, url, lang): one language, snippet as text.
+
+    Words are looked up in the uncut title, description and content; only what is shown
+    is cut. A table without content has none.
+    """
     rows = articles.where(F.col("lang") == lang)
     if not enabled:
         rows = rows.where(F.lit(False))
@@ -31,5 +35,5 @@ def news(articles: DataFrame, lang: str = "en", enabled: bool = True) -> DataFra
         F.col("article_id").alias("item_id"),
         F.coalesce("url", F.lit(X.NEWS_SOURCE)).alias("source"),
         snippet.alias("text"),
-        snippet.alias("body"),
+        F.concat_ws(" ", *[c for c in ("title", "description", "content") if c in articles.columns]).alias("body"),
     )

@@ -83,12 +83,16 @@ def _title() -> Column:
     return F.regexp_extract("html", "<title>([^<]*)", 1)
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _article() -> Column:
+    """All text of a page's article."""
     inner = F.regexp_extract("html", "(?s)<article>(.*)</article>", 1)
-    body = clean_text(F.regexp_replace(inner, "<[^>]*>", " "))
+    return clean_text(F.regexp_replace(inner, "<[^>]*>", " "))
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.encyclopaedia(
         wide(table(spark, sf_dir, "pages")).select(
-            F.col("page_id").alias("article_id"), _title().alias("title"), body.alias("body")
+            F.col("page_id").alias("article_id"), _title().alias("title"), _article().alias("body")
         )
     )
 
@@ -100,6 +104,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("page_id").alias("article_id"),
             _title().alias("title"),
             F.when(first != "", first).alias("description"),
+            _article().alias("content"),
             "url",
             F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("lang"),
         )

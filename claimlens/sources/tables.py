@@ -11,35 +11,28 @@ from claimlens.operators import retrieve as R
 from claimlens.operators.encode import Lexicon
 from claimlens.operators.lexical import TermIndex
 
-# The three demo evidence rows.
+# Three rows to try the reader and the corpus with.
 DEMO_EVIDENCE = [
-    (
-        0,
-        "The moon landing occurred on July 20, 1969, with Apollo 11 landing on the lunar surface.",
-        "https://nasa.gov/apollo11",
-    ),
-    (
-        1,
-        "Vaccines undergo safety trials before approval; multiple agencies monitor safety.",
-        "https://who.int/vaccines",
-    ),
-    (
-        2,
-        "Climate change is driven by greenhouse gas emissions from human activity.",
-        "https://ipcc.ch",
-    ),
+    (0, "Water boils at a lower temperature on high mountains.", "https://example.org/boiling"),
+    (1, "Honey that is kept dry and closed stays edible for years.", "https://example.org/honey"),
+    (2, "The tides of the sea follow the moon and the sun.", "https://example.org/tides"),
 ]
 
 
-def _csv_header(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.option("header", True).option("multiLine", True).csv(path).columns
+def _csv_header(spark: SparkSession, path: str, multi_line: bool) -> list[str]:
+    return spark.read.option("header", True).option("multiLine", multi_line).csv(path).columns
 
 
-def _read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def _read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> DataFrame:
+    """Rows of CSV files with one common header; a file with another one, or a value that does
+    not fit its column, is an error. Only with `multi_line` may a value hold a line break;
+    each file is then read by one task."""
     return (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", True)
+        .option("enforceSchema", False)
+        .option("mode", "FAILFAST")
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)
@@ -50,16 +43,16 @@ def _column_order(names: list[str], types: dict[str, T.DataType]) -> T.StructTyp
     return T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
 
 
-def read_evidence_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_evidence_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """evidence(evidence_id, text, source_url) from CSV.
 
     Without an `id` column the id is derived from the row's content, which is the
     same on every read and needs no global numbering; equal rows share it and are
     kept apart by a counter.
     """
-    names = _csv_header(spark, path)
+    names = _csv_header(spark, path, multi_line)
     _require(names, ("text", "source_url"), path)
-    df = _read_csv(spark, path, _column_order(names, {"id": T.LongType()}))
+    df = _read_csv(spark, path, _column_order(names, {"id": T.LongType()}), multi_line)
     if "id" in names:
         return df.select(F.col("id").alias("evidence_id"), "text", "source_url")
     return with_content_id(df.select("text", "source_url"), "evidence_id")
@@ -116,10 +109,12 @@ def load_labeled_claims(
     return out if null_as_text else out.where("text is not null and text <> ''")
 
 
-def read_claims_csv(spark: SparkSession, path: str, **options) -> DataFrame:
-    names = _csv_header(spark, path)
+def read_claims_csv(
+    spark: SparkSession, path: str, multi_line: bool = False, **options
+) -> DataFrame:
+    names = _csv_header(spark, path, multi_line)
     _require(names, ("label", "statement", "source"), path)
-    return load_labeled_claims(_read_csv(spark, path, _column_order(names, {})), **options)
+    return load_labeled_claims(_read_csv(spark, path, _column_order(names, {}), multi_line), **options)
 
 
 def write_demo_evidence(spark: SparkSession, path: str) -> None:

@@ -19,11 +19,11 @@ def write_csv(path, header, rows):
 def test_evidence_csv_with_quotes_newlines_and_copies(spark, tmp_path):
     rows = [('a "quoted", text', "u"), ("two\nlines", "v"), ("same", "w"), ("same", "w")]
     path = write_csv(tmp_path / "e.csv", ["text", "source_url"], rows)
-    got = T.read_evidence_csv(spark, path).collect()
+    got = T.read_evidence_csv(spark, path, multi_line=True).collect()
     assert sorted((r.text, r.source_url) for r in got) == sorted(rows)
     assert len({r.evidence_id for r in got}) == 4
     assert {r.evidence_id for r in got} == {
-        r.evidence_id for r in T.read_evidence_csv(spark, path).collect()
+        r.evidence_id for r in T.read_evidence_csv(spark, path, multi_line=True).collect()
     }
 
 
