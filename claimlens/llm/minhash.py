@@ -117,7 +117,7 @@ def signatures(region: np.ndarray, ptr: np.ndarray, k: int) -> np.ndarray:
     while len(todo):
         until = np.maximum(_cells_below(bound[todo]), seen[todo] + 1)
         # Texts with as many darts as a step holds.
-        for part in A.steps(weight[todo] * (until - seen[todo]), 1 << 20):
+        for part in A.steps(weight[todo] * (until - seen[todo]), 1 << 19):
             _throw(region, ptr, todo[part], seen[todo[part]], until[part], k, out)
         seen[todo] = until
         bound[todo] *= 2

@@ -37,7 +37,7 @@ CAPACITY = 1024
 SMALLEST_CUT = 64
 END_OF_DOCUMENT = 0
 # Words whose ids a worker keeps: two generations of this many.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 
 # A space between two characters that are not white space belongs to what follows.
 _WORD_SPACE = re.compile(r"(?<=\S) (?=\S)")

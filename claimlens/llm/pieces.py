@@ -28,7 +28,7 @@ from claimlens.llm import arrays as A
 
 SPACE = "▁"
 # Words whose encoding a worker keeps: two generations of this many.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 # The kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 # No piece reaches over a line break, from another character to a space mark, or from a
