@@ -110,6 +110,7 @@ def dedup(
     """All columns of docs and: n_words, n_removed, kept_text (kept words joined by a space)."""
     key, text = free_name(docs, "_key"), F.col(text_column)
     keyed = docs.withColumn(key, F.xxhash64(F.col(id_column), text))
+    marks_name, starts_name = free_name(docs, "marks"), free_name(docs, "starts")
 
     def occurrences(part: pa.RecordBatch) -> pa.RecordBatch:
         w, which, place, _, _, anchor, whole = factors(part.column("text"), window, gram)
@@ -128,13 +129,11 @@ def dedup(
     n_anchor = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     # Factors whose anchor is found twice at least; few in a collection without copies.
     again = durable(found.join(n_anchor, "anchor").select("k", "place", "factor"))
-    by_factor = again.groupBy("factor").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "place")).alias("model")
-    )
+    # The model of a factor is its occurrence with the smallest hash of where it stands.
+    stand = F.xxhash64("k", "place")
+    by_factor = again.groupBy("factor").agg(F.count(F.lit(1)).alias("n"), F.min(stand).alias("model"))
     kind = (
-        F.when(F.col("n") == 1, BOUNDARY)
-        .when((F.col("model.k") == F.col("k")) & (F.col("model.place") == F.col("place")), MODEL)
-        .otherwise(MATCHED)
+        F.when(F.col("n") == 1, BOUNDARY).when(F.col("model") == stand, MODEL).otherwise(MATCHED)
     )
     marks = (
         again.join(by_factor, "factor")
@@ -142,14 +141,16 @@ def dedup(
         .groupBy("k")
         .agg(F.collect_list("m").alias("marks"))
     )
-    marks = durable(marks)
-    candidates = plain.join(marks, "k")
+    marks = durable(marks).withColumnsRenamed({"k": key, "marks": marks_name})
+    # All columns, though only the text is read: so this join and the last one share one
+    # exchange of the texts, which is the largest of all. For that, nothing below is stored.
+    candidates = keyed.join(marks, key)
 
     def marked(part: pa.RecordBatch):
         """(words, first and last window of each marked factor, its kind, its text)."""
-        w, which, place, first, last, _, _ = factors(part.column("text"), window, gram)
-        sizes = A.list_sizes(part.column("marks"))
-        flat = part.column("marks").flatten()
+        w, which, place, first, last, _, _ = factors(part.column(text_column), window, gram)
+        sizes = A.list_sizes(part.column(marks_name))
+        flat = part.column(marks_name).flatten()
         own = np.repeat(np.arange(part.num_rows), sizes) << 32 | flat.field("place").to_numpy()
         mine = which << 32 | place
         by = np.argsort(mine)
@@ -168,21 +169,22 @@ def dedup(
         code = w.ranges(start, start + window)
         return pa.RecordBatch.from_arrays(
             [
-                part.column("k").take(pa.array(text)),
+                part.column(key).take(pa.array(text)),
                 pa.array(start - w.ptr[text], pa.int32()),
                 pa.array(code.view(np.int64)),
             ],
             names=["k", "place", "code"],
         )
 
-    windows = durable(candidates.mapInArrow(A.over_texts(boundary), "k long, place int, code long"))
+    windows = candidates.mapInArrow(
+        A.over_texts(boundary, text_column), "k long, place int, code long"
+    )
     twice = windows.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("code")
-    single = windows.join(twice, "code").groupBy("k").agg(F.collect_list("place").alias("starts"))
+    single = windows.join(twice, "code").groupBy(F.col("k").alias(key))
+    single = single.agg(F.collect_list("place").alias(starts_name))
 
     # One row of marks and starts per key; texts without any have none.
-    spans = marks.join(single, "k", "left").select(F.col("k").alias(key), "marks", "starts")
-    marks_name, starts_name = free_name(docs, "marks"), free_name(docs, "starts")
-    spans = spans.withColumnsRenamed({"marks": marks_name, "starts": starts_name})
+    spans = marks.join(single, key, "left")
     n_words, n_removed, kept_text = (free_name(docs, c) for c in ("n_words", "n_removed", "kept_text"))
     schema = T.StructType(
         [
@@ -195,10 +197,7 @@ def dedup(
     given, names = docs.columns, [f.name for f in schema]
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays(
-            [part.column(text_column), part.column(marks_name)], names=["text", "marks"]
-        )
-        w, first, last, kinds, which = marked(batch)
+        w, first, last, kinds, which = marked(part)
         n = len(w.hash)
         full = kinds != BOUNDARY
         starts, ends = [first[full]], [last[full] + window]
