@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from claimlens.functions import text as X
-from claimlens.functions.vectors import cosine
-from claimlens.operators.encode import Lexicon, encode, hashed_encoder, lexicon
+from claimlens.functions.vectors import cosine, with_unit_vector
+from claimlens.operators.encode import Encoder, Lexicon, encode, hashed_encoder, lexicon
 from claimlens.operators.knn import knn_join
 from claimlens.operators.lexical import TermIndex, lexical_join, term_index
 from claimlens.session import durable
@@ -19,28 +20,41 @@ LOCAL, ENCYCLOPAEDIA, NEWS = 0, 1, 2
 LOCAL_SOURCE = "local"
 
 
+# Rows (of ids and scores only) up to which hits are broadcast to the tables they point into.
+BROADCAST_ROWS = 200_000
+
+# Gives the encoder of a table from the names of its id and text columns.
+EncoderOf = Callable[[str, str], Encoder]
+
+
 @dataclass(frozen=True)
 class Source:
-    """A landed article table (item_id, source, text), its words and the vectors of its texts."""
+    """A landed article table (item_id, source, text), its words and the vectors of its texts.
+
+    With an encoder the vectors are not stored, and those of hits alone can be made.
+    """
 
     items: DataFrame
     index: TermIndex
     vectors: DataFrame
+    encoder: Encoder | None = None
 
 
 @dataclass(frozen=True)
 class Corpus:
     """What claims are checked against.
 
-    evidence(evidence_id, text, source_url), vectors(evidence_id, embedding) and the
-    lexicon that weighted them; articles and news are None when switched off.
+    evidence(evidence_id, text, source_url), vectors(evidence_id, embedding) and what made
+    them: an encoder, or without one the lexicon of the default encoder. Articles and news
+    are None when switched off.
     """
 
     evidence: DataFrame
     vectors: DataFrame
-    lex: Lexicon
+    lex: Lexicon | None
     articles: Source | None = None
     news: Source | None = None
+    encoder: EncoderOf | None = None
 
     def sources(self) -> list[tuple[int, int, Source]]:
         """(source rank, depth, source) of the keyword sources that are on."""
@@ -48,36 +62,64 @@ class Corpus:
         return [r for r in rows if r[2] is not None]
 
 
-def build_source(table: DataFrame, lex: Lexicon) -> Source:
+def encoder_for(
+    id_col: str, text_col: str, lex: Lexicon | None, encoder: EncoderOf | None = None
+) -> Encoder:
+    """The plugged-in encoder, its vectors scaled to length 1, or else the default one."""
+    if encoder is None:
+        return hashed_encoder(lex, id_col, text_col)
+    plugged = encoder(id_col, text_col)
+
+    def run(df: DataFrame) -> DataFrame:
+        unit = with_unit_vector(plugged(df).select(id_col, "embedding"), "embedding")
+        return unit.withColumn("embedding", F.col("embedding").cast("array<float>"))
+
+    return run
+
+
+def build_source(table: DataFrame, lex: Lexicon | None, encoder: EncoderOf | None = None) -> Source:
     """Index a landed table (item_id, source, text, body); words are looked up in body.
 
     The rows with their words are written out once and serve every later read.
     """
     words = F.array_distinct(X.tokens(F.col("body"))).alias("terms")
     landed = durable(table.select("item_id", "source", "text", words))
-    return Source(
-        landed.select("item_id", "source", "text"),
-        term_index(landed.select(F.col("item_id").alias("id"), "terms")),
-        hashed_encoder(lex, "item_id", "text")(landed),
-    )
+    items = landed.select("item_id", "source", "text")
+    encode_items = encoder_for("item_id", "text", lex, encoder)
+    index = term_index(landed.select(F.col("item_id").alias("id"), "terms"))
+    return Source(items, index, encode_items(items), encode_items)
 
 
 def build_corpus(
-    evidence: DataFrame, articles: DataFrame | None = None, news: DataFrame | None = None
+    evidence: DataFrame,
+    articles: DataFrame | None = None,
+    news: DataFrame | None = None,
+    encoder: EncoderOf | None = None,
 ) -> Corpus:
-    """Index evidence and articles with the default encoder.
+    """Index evidence and articles, with the default encoder unless another is plugged in.
 
-    Word frequencies are read by every later step, so they are written out once; the
-    rest stays lazy.
+    Word frequencies are read by every later step of the default encoder, so they are
+    written out once; so are the vectors of a plugged-in one, which may be dear. The rest
+    stays lazy.
     """
-    words = lexicon(evidence, "evidence_id", "text")
-    lex = Lexicon(durable(words.df), words.n_docs)
-    on = [None if t is None else build_source(t, lex) for t in (articles, news)]
-    return Corpus(evidence, encode(evidence, "evidence_id", "text", lex), lex, *on)
+    if encoder is None:
+        words = lexicon(evidence, "evidence_id", "text")
+        lex = Lexicon(durable(words.df), words.n_docs)
+        vectors = encode(evidence, "evidence_id", "text", lex)
+    else:
+        lex = None
+        vectors = durable(encoder_for("evidence_id", "text", None, encoder)(evidence))
+    on = [None if t is None else build_source(t, lex, encoder) for t in (articles, news)]
+    return Corpus(evidence, vectors, lex, *on, encoder)
 
 
 def claim_vectors(claims: DataFrame, corpus: Corpus) -> DataFrame:
-    return hashed_encoder(corpus.lex, "claim_id", "text")(claims)
+    return encoder_for("claim_id", "text", corpus.lex, corpus.encoder)(claims)
+
+
+def if_small(stored: DataFrame) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcast while it has few of them."""
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
 
 
 def local_hits(vectors: DataFrame, corpus: Corpus, k: int, **how) -> DataFrame:
@@ -116,12 +158,17 @@ def candidates(claims: DataFrame, vectors: DataFrame, corpus: Corpus, k: int) ->
 def rescore(cands: DataFrame, vectors: DataFrame, corpus: Corpus) -> DataFrame:
     """Cosine of claim and candidate text for every candidate.
 
-    Evidence hits carry that value already; only keyword hits need their vectors. A
-    candidate without a vector keeps a null score.
+    Evidence hits carry that value already; only keyword hits need their vectors, and
+    where these are not stored, only articles that were hit are encoded. A candidate
+    without a vector keeps a null score. `cands` is read more than once.
     """
     items = None
     for rank, _, source in corpus.sources():
-        part = source.vectors.select(F.lit(rank).alias("source_rank"), "item_id", "embedding")
+        vecs = source.vectors
+        if source.encoder is not None:
+            hit = durable(cands.where(F.col("source_rank") == rank).select("item_id").distinct())
+            vecs = source.encoder(source.items.join(if_small(hit), "item_id", "left_semi"))
+        part = vecs.select(F.lit(rank).alias("source_rank"), "item_id", "embedding")
         items = part if items is None else items.unionByName(part)
     if items is None:
         return cands
@@ -150,7 +197,11 @@ def rerank(scored: DataFrame, k: int) -> DataFrame:
 
 
 def with_text(ranked: DataFrame, corpus: Corpus) -> DataFrame:
-    """Look source and text up after the cut, by the hit's own id."""
+    """Look source and text up after the cut, by the hit's own id.
+
+    Few hits are broadcast to the texts, which then stay where they are read.
+    """
+    ranked = if_small(durable(ranked))
     items = corpus.evidence.select(
         F.lit(LOCAL).alias("source_rank"),
         F.col("evidence_id").alias("item_id"),
@@ -168,7 +219,8 @@ def retrieve(claims: DataFrame, corpus: Corpus, k: int = DEFAULT_K) -> DataFrame
     """(claim_id, rank, source_rank, item_id, source, text, score), best first."""
     # Read by the evidence search and again for scoring: computed once.
     vectors = durable(claim_vectors(claims, corpus))
-    ranked = rerank(rescore(candidates(claims, vectors, corpus, k), vectors, corpus), k)
+    cands = durable(candidates(claims, vectors, corpus, k))
+    ranked = rerank(rescore(cands, vectors, corpus), k)
     return with_text(ranked, corpus).select(
         "claim_id", "rank", "source_rank", "item_id", "source", "text", "score"
     )

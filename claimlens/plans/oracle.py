@@ -165,6 +165,29 @@ RETRIEVE = [
 ]
 
 
+def letters(t: str) -> str:
+    """Unit vectors of letter counts, as (id, bucket, v)."""
+    count = "length(text) - length(replace(replace(text, chr((97 + b)::INTEGER), ''), chr((65 + b)::INTEGER), ''))"
+    return f"""{t}_v AS MATERIALIZED (SELECT id, bucket, CAST(n / norm AS FLOAT)::DOUBLE AS v
+      FROM (SELECT *, nullif(sqrt(sum(n * n) OVER (PARTITION BY id)), 0) AS norm
+        FROM (SELECT id, b AS bucket, ({count})::DOUBLE AS n FROM {t}, range(26) r(b))))"""
+
+
+RETRIEVE_BY_LETTERS = [
+    EVIDENCE,
+    CLAIMS,
+    letters("ev"),
+    letters("cl"),
+    LOCAL_HITS,
+    *SOURCES,
+    letters("wiki"),
+    letters("news"),
+    *RETRIEVE[-5:-2],
+]
+BLANKED = f"""{CLAIMS}, bl AS (SELECT id AS claim_id, CASE WHEN id % 5 = 0 THEN ''
+    ELSE {strip('text')} END AS text FROM cl)"""
+
+
 def sql(ctes: list[str], body: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
@@ -359,6 +382,24 @@ ORACLE_SQL: dict[str, str] = {
     "news_candidates": article_candidates("news", 3),
     "candidates": sql([*BASE, *SOURCES, CANDIDATES], "SELECT * FROM cand"),
     "retrieve": sql(RETRIEVE, "SELECT * FROM hits"),
+    "retrieve_custom_encoder": sql(RETRIEVE_BY_LETTERS, "SELECT * FROM hits"),
+    "analyze_exits": f"""WITH {BLANKED}, p AS (SELECT *, length({PROMPT_HEAD} || text || {BREAK}
+          || 'Evidence:' || chr(10) || 'No relevant evidence found.' || {BREAK} || {PROMPT_TAIL}) AS len
+        FROM bl), e AS (SELECT *, CASE WHEN text = '' THEN 'blank' WHEN ends_with(text, ' flat') THEN 'error'
+          WHEN len % 3 = 0 THEN 'none' ELSE 'ok' END AS kind FROM p)
+        SELECT claim_id, text, CASE kind WHEN 'ok' THEN 'True' ELSE 'Uncertain' END AS label,
+          CASE kind WHEN 'ok' THEN 0.9 WHEN 'blank' THEN 0.0 ELSE 0.5 END::DOUBLE AS confidence,
+          CASE kind WHEN 'ok' THEN len || ' 4' WHEN 'blank' THEN 'Empty input.' WHEN 'error' THEN 'refused'
+            ELSE 'No output' END AS explanation,
+          CASE kind WHEN 'ok' THEN '' END AS counterfactual, CASE kind WHEN 'ok' THEN '' END AS reasoning,
+          CASE kind WHEN 'blank' THEN 'No input provided.' ELSE '1 updates, loss=0.450' END AS status,
+          '' AS evidence FROM e""",
+    "analyze_no_generator": f"""WITH {BLANKED}
+        SELECT claim_id, text, 'Uncertain' AS label, CASE WHEN text = '' THEN 0.0 ELSE 0.5 END::DOUBLE AS confidence,
+          CASE WHEN text = '' THEN 'Empty input.' ELSE 'Generator not available.' END AS explanation,
+          NULL::VARCHAR AS counterfactual, NULL::VARCHAR AS reasoning,
+          CASE WHEN text = '' THEN 'No input provided.' ELSE 'Skipped (no generator)' END AS status,
+          '' AS evidence FROM bl""",
     "retrieve_stats": sql(
         RETRIEVE,
         """SELECT cl.id AS claim_id, coalesce(n, 0) AS n_hits, best

@@ -23,6 +23,7 @@ from claimlens.sources import tables as T
 from claimlens.streaming import claims as St
 
 TIME = "yyyy-MM-dd HH:mm:ss"
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def evidence_scan(spark, sf):
@@ -155,6 +156,25 @@ def retrieve(spark, sf):
     return R.retrieve(D.claims(spark, sf), D.corpus(spark, sf), P.PIPELINE_K)
 
 
+def _letter_model():
+    """A stand-in for an embedding model: how often each letter occurs."""
+
+    def call(texts):
+        return [[float(t.count(c) + t.count(c.upper())) for c in LETTERS] for t in texts]
+
+    return call
+
+
+def letter_encoder(id_col: str, text_col: str) -> E.Encoder:
+    return E.model_encoder(_letter_model, id_col, text_col)
+
+
+def retrieve_custom_encoder(spark, sf):
+    """Retrieval with a plugged-in encoder for evidence, articles and claims."""
+    sources = D.evidence(spark, sf), D.articles(spark, sf), D.news(spark, sf)
+    return R.retrieve(D.claims(spark, sf), R.build_corpus(*sources, letter_encoder), P.PIPELINE_K)
+
+
 def retrieve_stats(spark, sf):
     rows = P.attach_evidence(D.claims(spark, sf), D.corpus(spark, sf))
     return rows.select(
@@ -236,6 +256,36 @@ def analyze(spark, sf):
     return _flat(_analysis(spark, sf))
 
 
+def _claims_with_blanks(spark, sf):
+    blank = F.col("claim_id") % 5 == 0
+    return D.claims(spark, sf).withColumn("text", F.when(blank, " \n").otherwise(F.col("text")))
+
+
+def _short_model():
+    """A stand-in for a generator: refuses some prompts and has no output for others."""
+
+    def call(prompts, params):
+        out = []
+        for p in prompts:
+            if " flat\n" in p:
+                raise ValueError("refused")
+            answer = f'{{"label":"True","confidence":0.9,"explanation":"{len(p)} {params["num_beams"]:.0f}"}}'
+            out.append(answer if len(p) % 3 else None)
+        return out
+
+    return call
+
+
+def analyze_exits(spark, sf):
+    """Blank claims, refused prompts, prompts without output and the rest, with a model."""
+    generator = G.model(_short_model, {"temperature": 0.1, "num_beams": None})
+    return _flat(P.analyze(_claims_with_blanks(spark, sf), None, generator))
+
+
+def analyze_no_generator(spark, sf):
+    return _flat(P.analyze(_claims_with_blanks(spark, sf), None, None))
+
+
 def report(spark, sf):
     return P.report(_analysis(spark, sf))
 
@@ -431,7 +481,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         param_defaults,
         parse_output,
         verdict_rules,
+        retrieve_custom_encoder,
         analyze,
+        analyze_exits,
+        analyze_no_generator,
         report,
         history_rows,
         eval_label,

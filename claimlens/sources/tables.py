@@ -133,7 +133,8 @@ def write_vectors(
 def write_corpus(corpus: R.Corpus, path: str) -> None:
     """Persist a whole index: evidence with vectors, words, and the keyword sources."""
     write_vectors(corpus.evidence, corpus.vectors, f"{path}/evidence")
-    corpus.lex.df.write.mode("overwrite").parquet(f"{path}/words")
+    if corpus.lex is not None:
+        corpus.lex.df.write.mode("overwrite").parquet(f"{path}/words")
     for rank, _, source in corpus.sources():
         table = source.items.join(
             source.vectors.select("item_id", "embedding"), "item_id", "left"
@@ -142,8 +143,13 @@ def write_corpus(corpus: R.Corpus, path: str) -> None:
         source.index.lex.df.write.mode("overwrite").parquet(f"{path}/source-{rank}-words")
 
 
-def read_corpus(spark: SparkSession, path: str) -> R.Corpus:
-    """An index written by `write_corpus`; a keyword source that is absent is off."""
+def read_corpus(
+    spark: SparkSession, path: str, encoder: R.EncoderOf | None = None
+) -> R.Corpus:
+    """An index written by `write_corpus`; a keyword source that is absent is off.
+
+    A corpus built with a plugged-in encoder needs the same one to encode claims.
+    """
 
     def lexicon(words: str, table: DataFrame) -> Lexicon:
         df = spark.read.schema("token string, df long").parquet(f"{path}/{words}")
@@ -167,9 +173,10 @@ def read_corpus(spark: SparkSession, path: str) -> R.Corpus:
     return R.Corpus(
         evidence.select("evidence_id", "text", "source_url"),
         evidence.select("evidence_id", "embedding"),
-        lexicon("words", evidence),
+        lexicon("words", evidence) if encoder is None else None,
         source(R.ENCYCLOPAEDIA),
         source(R.NEWS),
+        encoder,
     )
 
 

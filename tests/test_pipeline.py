@@ -110,10 +110,11 @@ def test_without_generator(corpus, claims):
 
 def test_failing_rows_stay_apart(corpus, claims):
     def load():
-        def call(prompt, params):
-            if "vaccines" in prompt.split("\n")[1]:
+        def call(prompts, params):
+            assert params["num_beams"] == 4 and params["temperature"] == 0.7
+            if any("vaccines" in p.split("\n")[1] for p in prompts):
                 raise ValueError("too long")
-            return "That is true"
+            return ["That is true"] * len(prompts)
 
         return call
 
