@@ -5,8 +5,10 @@ labelled pages, and one linear scan finds the contiguous region with the highest
 Labelled pages are those whose authors marked the content (`<article>` or `<main>`); the
 weights are log-odds of kinds of tokens inside and outside of that markup, from a
 bounded sample (`SAMPLE_ROWS`). A kind is the tag's name, or for a word the nearest
-structural element around it; the stated prior speaks for kinds that the sample lacks, so
-pages without any markup are handled by the same scan. Elements inside the region that are
+structural element around it; the stated prior speaks for kinds that the sample lacks.
+Pages without such markup are handled by the same scan, but their words have weights of
+their own: labelled pages are counted a second time as if the markup were absent, and
+elements that hold the content of any page (`GENERIC`) weigh no less than by the prior. Elements inside the region that are
 not article text (menus, forms, adverts, comments, scripts) are left out, then
 blocks are joined.
 
@@ -34,6 +36,8 @@ SAMPLE_ROWS = 2_000
 WORD_WEIGHT, TAG_COST, TEXT_COST = 3.0, 0.5, 6.0
 # Words of elements that are left out of a marked article: the scan passes over them.
 LEFT_OUT = "w:left out"
+# What the kinds of words of a page without marked content start with.
+UNMARKED = "w:unmarked "
 
 # Element names by role.
 CONTENT = frozenset("article main".split())
@@ -43,6 +47,8 @@ ASIDE = frozenset(
     "audio video map head".split()
 )
 STRUCTURE = frozenset("section div ul ol dl table td figure details a body".split()) | CONTENT | ASIDE
+# Elements that content stands in wherever it is not marked; "none" is a word outside of all.
+GENERIC = frozenset("section div td body none".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol "
@@ -71,6 +77,12 @@ def tokens(page: str):
 
     Text tokens have the kind of their words; `aside` tells text that is no article text.
     """
+    for kind, name, text, aside, _ in _walk(page):
+        yield kind, name, text, aside
+
+
+def _walk(page: str):
+    """Tokens and, for text that is article text, its kind if the content were not marked."""
     stack: list[tuple[str, bool]] = []
     at, end = 0, len(page)
 
@@ -90,12 +102,26 @@ def tokens(page: str):
             )
         return f"w:{near}{link}", aside
 
+    def unmarked() -> str | None:
+        near, link = "none", ""
+        for name, marked in reversed(stack):
+            if name == "a":
+                link = "+a"
+            elif name not in CONTENT and near == "none":
+                # The heading of an article's own header is content wherever it stands.
+                if name == "header" and any(n in CONTENT for n, _ in stack):
+                    continue
+                near = name
+            if name not in CONTENT and (marked or name in ASIDE and name != "header"):
+                return None
+        return f"{UNMARKED}{near}{link}"
+
     while at < end:
         found = _TOKEN.search(page, at)
         stop = found.start() if found else end
         if stop > at:
             kind, aside = context()
-            yield kind, None, page[at:stop], aside
+            yield kind, None, page[at:stop], aside, None if aside else unmarked()
         if not found:
             return
         at = found.end()
@@ -104,14 +130,14 @@ def tokens(page: str):
             continue
         name = found[2].lower()
         if found[1]:
-            yield f"/{name}", name, "", False
+            yield f"/{name}", name, "", False, None
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
                     break
             continue
         named = found[3] and any(MARKS.search(m.strip("\"'")) for m in _NAMED.findall(found[3]))
-        yield (f"{name}!" if named else name), name, "", False
+        yield (f"{name}!" if named else name), name, "", False, None
         if name in RAW:
             close = _ENDS[name].search(page, at)
             at = close.end() if close else end
@@ -137,7 +163,9 @@ def weight(kind: str, inside: int, outside: int) -> float:
 
     odds = log((inside + 1) / (outside + 1))
     if kind.startswith("w:"):
-        return max(-WORD_WEIGHT, min(WORD_WEIGHT, odds))
+        odds = max(-WORD_WEIGHT, min(WORD_WEIGHT, odds))
+        near = kind.removeprefix(UNMARKED)
+        return max(odds, prior(f"w:{near}")) if near in GENERIC else odds
     return -TAG_COST - max(0.0, min(WORD_WEIGHT, -odds))
 
 
@@ -146,14 +174,22 @@ def is_labelled(page: str) -> bool:
 
 
 def count_kinds(page: str) -> tuple[Counter, Counter]:
-    """Kinds inside and outside of the marked content; words count one by one."""
+    """Kinds inside and outside of the marked content; words count one by one.
+
+    Words count under their kind and under the one that they have in unmarked pages.
+    """
     inside, outside, depth = Counter(), Counter(), 0
-    for kind, name, text, aside in tokens(page):
+    for kind, name, text, aside, unmarked in _walk(page):
         if name in CONTENT:
             depth = max(0, depth + (-1 if kind[0] == "/" else 1))
         n = len(text.split()) if name is None else 1
         if n and kind != LEFT_OUT:
-            (inside if depth and not aside else outside)[kind] += n
+            where = inside if depth and not aside else outside
+            where[kind] += n
+            if unmarked:
+                where[unmarked] += n
+            elif name is None and where is outside:
+                where[f"{UNMARKED}{kind[2:]}"] += n
     return inside, outside
 
 
@@ -162,10 +198,11 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     row = list(tokens(page))
+    marked = any(name in CONTENT for _, name, _, _ in row)
     best = (0.0, 0, 0)
     total, first = 0.0, 0
     for i, (kind, name, text, _) in enumerate(row):
-        w = weights.get(kind)
+        w = weights.get(kind if marked or name is not None else f"{UNMARKED}{kind[2:]}")
         w = prior(kind) if w is None else w
         total += w if name is not None else max(-TEXT_COST, w * len(text.split()))
         if total <= 0:

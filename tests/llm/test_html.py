@@ -46,3 +46,33 @@ def test_table(spark):
     assert sorted((str(r.page_id), r.n_chars) for r in got)[2] == ("None", 0)
     assert {r.text for r in got if r.page_id} == {H.main_text(MARKED, {})}
     assert H.extract(spark.createDataFrame([], "page_id int, url string, html string")).collect() == []
+
+
+def test_unmarked_pages_beside_marked_ones(spark):
+    """Bylines in plain elements of marked pages do not cost unmarked pages their text."""
+    words = " ".join(f"word{i}" for i in range(30))
+    by = "".join(f"<{e}>by someone on a day</{e}>" for e in ("div", "section", "td")) + "and more"
+    marked = [
+        f"<html><body>{by}<main><article><h1>Head {i}</h1><p>{words}</p></article></main>{by}</body></html>"
+        for i in range(40)
+    ]
+    plain = [
+        f"<html><body><ul class=menu><li><a href=x>Home</a></ul>{page}</body></html>"
+        for page in (
+            f"<div><p>{words}</p></div>",
+            f"<section><div><p>{words}</p><p>{words}</p></div></section>",
+            f"<table><tr><td><p>{words}</p></td></tr></table>",
+            f"<p>{words}</p>",
+        )
+    ]
+    pages = [(i, "u", p) for i, p in enumerate(marked + plain)]
+    table_ = spark.createDataFrame(pages, "page_id int, url string, html string")
+    got = {r.page_id: r.text for r in H.extract(table_).collect()}
+    assert [got[i] for i in range(40)] == [f"Head {i}\n{words}" for i in range(40)]
+    assert [got[40 + i] for i in range(4)] == [words, f"{words}\n{words}", words, words]
+
+
+def test_wrapped_content_counts_for_its_container():
+    inside, outside = H.count_kinds("<body><div>by me<article><div><p>one <a>two</a></p></div></article></div></body>")
+    assert inside["w:unmarked div"] == 1 and inside["w:unmarked div+a"] == 1 and outside["w:unmarked div"] == 2
+    assert H.weight("w:unmarked div", 0, 99) == H.prior("w:div") and H.weight("w:div", 0, 99) < 0
