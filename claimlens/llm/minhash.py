@@ -45,6 +45,8 @@ BANDS, BAND_ROWS = 32, 8
 SHARES = 64
 # Texts of a bucket that are compared in one task.
 BLOCK = 512
+# Keys of repeated rows that are broadcast; more are joined by a shuffle, with the same rows.
+MOST_BROADCAST = 200_000
 
 # Upper ends of the cells that ranks are cut into: doubling up to 4, then steps of 4.
 _FIRST, _STEP = -6, 4.0
@@ -343,20 +345,50 @@ def text_key(text_column: str):
     return F.xxhash64(F.col(text_column))
 
 
+def _wordy(text_column: str):
+    """A text without a word is no copy of anything."""
+    return F.col(text_column).rlike(r"[^\x20\x09-\x0D]")
+
+
 def with_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
     """All columns of docs and: component_id (smallest id linked with the row), kept.
 
-    One row of each component is kept: one with the smallest id; repeated rows with that
-    id are all the same document, and the smallest content key decides between others.
+    One document of each component is kept: one with the smallest id; repeated rows with that
+    id are all the same document, and the smallest content key decides between others. All
+    repeated rows of that document are marked as kept; `one_of_each` leaves one of them.
+    """
+    return _marked(docs, docs, id_column, text_column, **how)
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
+    """One row of each component, and all rows whose text has no word.
+
+    Of rows with the kept id and text, null ids included, the one with the smallest hash of
+    all columns stays. Only rows whose id and text repeat are grouped, combined in the map tasks.
     """
+    row = free_name(docs, "_row")
+    rows = docs.withColumn(row, F.when(_wordy(text_column), F.xxhash64(id_column, text_column)))
+    again = rows.where(F.col(row).isNotNull()).groupBy(row).agg(F.count(F.lit(1)).alias("n"))
+    again = durable(again.where("n > 1").select(row))
+    repeats = again.count()
+    kept = free_name(docs, "kept")
+    if not repeats:
+        return with_components(docs, id_column, text_column, **how).where(F.col(kept)).select(*docs.columns)
+    if repeats <= MOST_BROADCAST:
+        again = F.broadcast(again)
+    one = rows.join(again, row).groupBy(row).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r"))
+    single = rows.join(again, row, "left_anti").select(*docs.columns).unionByName(one.select("r.*"))
+    return _marked(docs, single, id_column, text_column, **how).where(F.col(kept)).select(*docs.columns)
+
+
+def _marked(docs: DataFrame, rows: DataFrame, id_column: str, text_column: str, **how) -> DataFrame:
+    """The given rows of docs with the component among docs and whether they are kept."""
     key, comp, cid, kept = (free_name(docs, x) for x in ("_key", "_component", "component_id", "kept"))
     low, first = free_name(docs, "_low"), free_name(docs, "_first")
     found = near_duplicates(docs, id_column, text_column, **how)
     found = found.select(F.col("key").alias(key), F.col("component").alias(comp))
-    # A text without a word is no copy of anything.
-    wordy = F.col(text_column).rlike(r"[^\x20\x09-\x0D]")
-    keyed = docs.withColumn(key, F.when(wordy, text_key(text_column)))
-    ids = keyed.select(key, F.col(id_column).alias(low)).where(F.col(key).isNotNull()).groupBy(key).agg(
+    content = F.when(_wordy(text_column), text_key(text_column))
+    ids = docs.withColumn(key, content).select(key, F.col(id_column).alias(low)).where(F.col(key).isNotNull()).groupBy(key).agg(
         F.min(low).alias(low)
     )
     ids = ids.join(found, key, "left").withColumn(comp, F.coalesce(comp, key))
@@ -364,7 +396,7 @@ def with_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     ids = durable(
         ids.join(lowest, comp).select(key, F.col(first)[low].alias(cid), F.col(first)[key].alias(first))
     )
-    out = keyed.join(ids, key, "left")
+    out = rows.withColumn(key, content).join(ids, key, "left")
     alone = F.col(key).isNull()
     return out.select(
         *docs.columns,

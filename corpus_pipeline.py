@@ -29,10 +29,9 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One row of each group of near copies, however often it is stored."""
     shared_dir(spark)
-    kept = free_name(docs, "kept")
-    return minhash.with_components(docs).where(F.col(kept)).select(*docs.columns)
+    return minhash.one_of_each(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,18 @@
+import os
 import random
+import sys
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from brute import near_texts, repeated_windows, roots, words
 
-from claimlens.llm import arrays as A, minhash as M, substring as S
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+import corpus_pipeline  # noqa: E402
+
+from claimlens.llm import arrays as A, minhash as M, substring as S  # noqa: E402
 
 SCHEMA = "doc_id long, text string"
 
@@ -90,3 +97,35 @@ def test_minhash_edges(spark):
     assert sorted((str(r.doc_id), r.component_id, r["_kept"]) for r in got.collect()) == sorted(
         [("1", 1, True), ("2", 2, True), ("3", 3, True), ("3", 3, True), ("4", 3, False), ("5", 5, True), ("None", 3, False)]
     )
+
+
+def test_one_row_of_each_component(spark, monkeypatch):
+    rng = random.Random(4)
+
+    def text(n=60):
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+    alone, twice, group, nulls, mixed = (text() for _ in range(5))
+    rows = [(1, alone, "a"), (2, twice, "a"), (2, twice, "a"), (2, twice, "b")]
+    rows += [(3, group, "a")] * 3 + [(4, f"{group} end", "a"), (5, group, "a")]
+    rows += [(None, nulls, "a")] * 3 + [(None, f"{nulls} end", "a"), (None, mixed, "a"), (9, mixed, "a")]
+    rows += [(6, None, "a"), (6, None, "a"), (7, " ", "a")]
+    docs = spark.createDataFrame(rows, f"{SCHEMA}, kept string").repartition(5)
+    for most in (M.MOST_BROADCAST, 0):
+        monkeypatch.setattr(M, "MOST_BROADCAST", most)
+        out = M.one_of_each(docs)
+        assert out.dtypes == docs.dtypes
+        got = Counter((r.doc_id, words(r.text)[0] if words(r.text) else r.text) for r in out.collect())
+        want = [(1, alone), (2, twice), (3, group), (None, nulls), (9, mixed)]
+        want = [(d, words(t)[0]) for d, t in want] + [(6, None), (6, None), (7, " ")]
+        assert got == Counter(want)
+
+
+def test_pipeline_keeps_repeated_document(spark):
+    """A clean document that is stored twice goes through dedup once, with its whole text."""
+    clean, other = (" ".join(f"{c}{i}" for i in range(80)) for c in "xy")
+    rows = [(1, clean), (1, clean), (2, other), (None, f"{other} z"), (None, f"q {clean} z"), (None, f"q {clean} z")]
+    docs = spark.createDataFrame([(d, t, "en", "a.com", len(t)) for d, t in rows], f"{SCHEMA}, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[2:4]:
+        docs = stage(spark, docs, "")
+    assert sorted((r.doc_id, r.text) for r in docs.collect()) == [(1, clean), (2, other)]
