@@ -120,3 +120,16 @@ def test_trigrams_stay_inside_texts():
     assert np.diff(ptr).tolist() == [1, 0, 0, 0, 2]
     alone = [L.grams(pa.array([t]))[0].tolist() for t in texts]
     assert Counter(gram.tolist()) == Counter(g for a in alone for g in a)
+
+
+def test_only_near_copies_of_a_label_are_left_out(spark):
+    rng = random.Random(3)
+    line = " ".join(f"licence{i}" for i in range(40))
+    fresh = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(40)]
+    # A shared passage, copies of one label, a copy of another label, a row without words.
+    rows = [(i, f"{t} {line}", i % 2) for i, t in enumerate(fresh)]
+    rows += [(50 + i, f"{fresh[i]} {line} end", i % 2) for i in range(5)]
+    rows += [(60, f"{fresh[0]} {line}", 1), (70, "", 0), (71, None, 0)]
+    index = X.train(spark.createDataFrame(rows, "id int, text string, label int"))
+    assert sorted(index.example_id.tolist()) == [*range(40), 60, 70, 71]
+    assert X.train(spark.createDataFrame([], "id int, text string, label int")).example_id.tolist() == []
