@@ -3,15 +3,17 @@
 The posterior of language l of a row is proportional to
     P(text | l)^(1/3) * P(declared | l) * P(l | host),
 with byte trigrams for the text (each byte is in three of them, hence the third), the
-declared language's confusion with what texts say, and a host prior smoothed towards the
+declared language's confusion with what texts say (counted for every declared value), and a host prior smoothed towards the
 prior of its address suffix, which is smoothed towards that of all rows. Counts for the
 last two come from grouped aggregation over all rows. A class `und` with evenly
 spread trigrams takes texts that no known language explains.
 
-Trigram models are fitted on a bounded sample of rows with a declared language
-(`SAMPLE_ROWS`). The counts by host are combined in the map tasks, so a host with a third
+Every declared language has a trigram model, fitted on all of its rows or on a sample of
+about `SAMPLE_ROWS` of them, so none is lost for being rare. A model takes 131 kB of
+memory. The counts by host are combined in the map tasks, so a host with a third
 of all rows costs no more than others; its prior comes back by a broadcast of the
-`HOT_HOSTS` largest hosts, and only rows of other hosts are joined by a shuffle.
+`HOT_HOSTS` largest hosts, and only rows of other hosts are joined by a shuffle; the
+evidence of declared values comes back in the same way.
 
 Defined results: null, empty and letterless texts are `und` with confidence 0 and not kept;
 a null declared language or address counts as a value of its own; repeated rows give
@@ -31,8 +33,7 @@ from claimlens.llm import arrays as A
 from claimlens.llm.tables import free_name
 from claimlens.session import durable
 
-SAMPLE_ROWS = 4_000
-MAX_LANGUAGES = 64
+SAMPLE_ROWS = 1_000
 GRAMS = 1 << 15
 HOT_HOSTS = 5_000
 # Weight of the wider prior, in rows; share of rows expected to be in no known language.
@@ -80,11 +81,17 @@ class Model:
 
 
 def fit(docs: DataFrame, declared: Column, text: Column, key: Column, rows: int = SAMPLE_ROWS) -> Model:
-    """Trigram models from at most `rows` rows: those whose keys have the smallest hashes."""
-    known = docs.select(F.xxhash64(key, text).alias("h"), declared.alias("l")).where("l is not null")
-    chosen = known.orderBy("h", "l").limit(rows).distinct()
-    tagged = docs.select(F.xxhash64(key, text).alias("h"), text.alias("text"))
-    sample = tagged.join(F.broadcast(chosen), "h").select("l", "text")
+    """Trigram models of all declared languages, from about `rows` rows of each.
+
+    A language of at most `rows` rows gives all; of others the rows whose keys have the
+    smallest hashes are taken, up to the hash that `rows` rows are expected below.
+    """
+    tagged = docs.select(F.xxhash64(key, text).alias("h"), declared.alias("l"), text.alias("text"))
+    sizes = tagged.where("l is not null").groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least"))
+    share = (F.lit(float(rows)) / F.col("n") * 2.0**64 - 2.0**63).cast("long")
+    below = F.when(F.col("n") <= rows, (1 << 63) - 1).otherwise(F.greatest("least", share))
+    limits = F.broadcast(sizes.select("l", below.alias("below")))
+    sample = tagged.join(limits, "l").where(F.col("h") <= F.col("below")).select("l", "text")
 
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
         names = part.column("l").to_pylist()
@@ -102,8 +109,6 @@ def fit(docs: DataFrame, declared: Column, text: Column, key: Column, rows: int
     names, code = np.unique(found.column("l").to_pylist() or np.zeros(0, str), return_inverse=True)
     table = np.zeros((GRAMS, len(names)))
     np.add.at(table, (found.column("gram").to_numpy().astype(int), code), found.column("n").to_numpy())
-    best = np.sort(np.argsort(-table.sum(0), kind="stable")[:MAX_LANGUAGES])
-    table, names = table[:, best], names[best]
     table = np.concatenate([table + 0.05, np.ones((GRAMS, 1))], axis=1)
     return Model([str(n) for n in names] + [UNKNOWN], np.log(table / table.sum(0)).astype(np.float32))
 
@@ -119,6 +124,26 @@ def suffix_of(host: Column) -> Column:
     return F.when(F.contains(host, F.lit(".")), F.substring_index(host, ".", -1)).otherwise(F.lit(""))
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """The rows with the value of their key. table: (key, n, value), one row for each key.
+
+    The `HOT_HOSTS` keys of the most rows are broadcast, the rest is joined by a shuffle.
+    """
+    hot = table.orderBy(F.desc("n"), key).limit(HOT_HOSTS).select(key, value)
+    found = rows.join(F.broadcast(hot), key, "left")
+    if table.count() <= HOT_HOSTS:
+        return found
+    late = free_name(rows, "_late")
+    rest = table.join(F.broadcast(hot.select(key)), key, "left_anti").select(key, F.col(value).alias(late))
+    return (
+        found.where(F.col(value).isNotNull())
+        .withColumn(late, F.lit(None).cast("array<double>"))
+        .unionByName(found.where(F.col(value).isNull()).join(rest, key, "left"))
+        .withColumn(value, F.coalesce(value, late))
+        .drop(late)
+    )
+
+
 def identify(
     docs: DataFrame,
     text_column: str = "text",
@@ -134,8 +159,8 @@ def identify(
     shared = spark.sparkContext.broadcast(model)
     names = model.languages
     n = len(names)
-    text, said, host, suffix, prior = (
-        free_name(docs, x) for x in ("_text", "_said", "_host", "_suffix", "_prior")
+    text, said, host, suffix, prior, evidence = (
+        free_name(docs, x) for x in ("_text", "_said", "_host", "_suffix", "_prior", "_evidence")
     )
     keyed = docs.withColumn(text, F.col(text_column)).withColumn(said, F.coalesce(declared, F.lit("")))
     keyed = keyed.withColumn(host, host_of(F.col(address_column)))
@@ -155,23 +180,27 @@ def identify(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     pairs = counts.groupBy("said", "best").agg(F.sum("n").alias("n"))
-    # One row per declared value that a fraction of the rows has; others share one.
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    by_said = pairs.where(F.col("n") * 1000 >= total).collect()
-    confusion: dict[str, np.ndarray] = {}
-    for r in by_said:
-        confusion.setdefault(r["said"], np.full(n, 0.5))[r["best"]] += r["n"]
     by_best = np.full(n, 1.0)
     for r in pairs.groupBy("best").agg(F.sum("n").alias("n")).collect():
         by_best[r["best"]] += r["n"]
-    log_said = {s: np.log(c / (by_best + 0.5 * len(confusion))) for s, c in confusion.items()}
-    for line in log_said.values():
-        # Nothing is known of what unknown languages declare: as the others do on average.
-        line[-1] = np.log(np.average(np.exp(line[:-1]), weights=by_best[:-1]) if n > 1 else 1.0)
+    total = float(by_best.sum() - n)
+    slots = [F.coalesce(F.sum(F.when(F.col("best") == i, F.col("n"))), F.lit(0)).cast("double") for i in range(n)]
+    # P(declared | language) for every declared value; each language has one row more, which
+    # declares what all rows do. Nothing is known of what unknown languages declare: as the
+    # others do on average.
+    by_said = pairs.groupBy("said").agg(F.sum("n").alias("n"), F.array(*slots).alias("c"))
+    rows_of = F.array(*map(F.lit, by_best[:-1].tolist())) if n > 1 else None
+    if n > 1:
+        rate = F.zip_with(F.slice("c", 1, n - 1), rows_of, lambda c, b: (c + F.col("n") / F.lit(total)) / b)
+        by_said = by_said.withColumn("rate", rate)
+        mean = F.aggregate(F.zip_with("rate", rows_of, lambda p, b: p * b), F.lit(0.0), lambda a, b: a + b)
+        line = F.transform(F.concat("rate", F.array(mean / float(by_best[:-1].sum()))), lambda p: F.log(p))
+    else:
+        line = F.array(F.lit(0.0))
+    lines = durable(by_said.select(F.col("said").alias(said), "n", line.alias(evidence)))
     overall = by_best / by_best.sum()
     overall[-1] = UNKNOWN_SHARE
 
-    slots = [F.coalesce(F.sum(F.when(F.col("best") == i, F.col("n"))), F.lit(0)).cast("double") for i in range(n)]
     by_host = counts.groupBy("host").agg(F.sum("n").alias("n"), F.array(*slots).alias("c"))
     by_host = by_host.withColumn("suffix", suffix_of(F.col("host")))
     by_suffix = by_host.groupBy("suffix").agg(
@@ -191,18 +220,7 @@ def identify(
             F.transform(smoothed(F.col("c"), F.col("n"), F.col("wide")), lambda p: F.log(p)).alias(prior),
         )
     )
-    hot = priors.orderBy(F.desc("n"), host).limit(HOT_HOSTS).select(host, prior)
-    with_prior = keyed.join(F.broadcast(hot), host, "left")
-    if priors.count() > HOT_HOSTS:
-        late = free_name(docs, "_late")
-        rest = priors.join(F.broadcast(hot.select(host)), host, "left_anti").select(host, F.col(prior).alias(late))
-        with_prior = (
-            with_prior.where(F.col(prior).isNotNull())
-            .withColumn(late, F.lit(None).cast("array<double>"))
-            .unionByName(with_prior.where(F.col(prior).isNull()).join(rest, host, "left"))
-            .withColumn(prior, F.coalesce(prior, late))
-            .drop(late)
-        )
+    fused = _looked_up(_looked_up(keyed, priors, host, prior), lines, said, evidence)
 
     language, confidence, kept = (free_name(docs, x) for x in ("language", "confidence", "kept"))
     schema = T.StructType(
@@ -213,15 +231,13 @@ def identify(
             T.StructField(kept, T.BooleanType()),
         ]
     )
-    even, given, out_names = np.zeros(n), docs.columns, [f.name for f in schema]
+    given, out_names = docs.columns, [f.name for f in schema]
 
     def decide(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = part.column(text)
-        said_ = part.column(said).to_pylist()
         log = shared.value.log_text(texts)
-        log += np.array([log_said.get(s, even) for s in said_]).reshape(-1, n)
-        known = part.column(prior)
-        log += known.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+        for known in (part.column(prior), part.column(evidence)):
+            log += known.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
         log -= log.max(1, keepdims=True)
         p = np.exp(log)
         p /= p.sum(1, keepdims=True)
@@ -237,4 +253,4 @@ def identify(
         ]
         return pa.RecordBatch.from_arrays(columns, names=out_names)
 
-    return with_prior.select(*docs.columns, text, said, prior).mapInArrow(A.over_texts(decide, text), schema)
+    return fused.select(*docs.columns, text, prior, evidence).mapInArrow(A.over_texts(decide, text), schema)

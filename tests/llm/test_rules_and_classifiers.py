@@ -133,3 +133,28 @@ def test_only_near_copies_of_a_label_are_left_out(spark):
     index = X.train(spark.createDataFrame(rows, "id int, text string, label int"))
     assert sorted(index.example_id.tolist()) == [*range(40), 60, 70, 71]
     assert X.train(spark.createDataFrame([], "id int, text string, label int")).example_id.tolist() == []
+
+
+def test_rare_and_many_languages_have_models_and_evidence(spark, monkeypatch):
+    rng = random.Random(1)
+
+    def text(letters, n=20):
+        return " ".join("".join(rng.choices(letters, k=4)) for _ in range(n))
+
+    rows = [(i, text("abcde"), "en", "a.com") for i in range(12_000)]
+    rows += [(20_000 + i, text("uvwxyz"), "xx", "a.com") for i in range(3)]
+    # Its text tells nothing; only what it declares does.
+    rows += [(30_000, "m", "xx", "a.com")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")
+    for hot in (L.HOT_HOSTS, 1):
+        monkeypatch.setattr(L, "HOT_HOSTS", hot)
+        got = {r.doc_id: r.language for r in L.identify(docs).where("doc_id >= 20000 or doc_id < 100").collect()}
+        assert {got[i] for i in range(100)} == {"en"}
+        assert {v for k, v in got.items() if k >= 20_000} == {"xx"}
+    many = [(i, text("abcdefghij"), f"l{i % 80}", "a.com") for i in range(240)]
+    many = spark.createDataFrame(many, docs.schema)
+    model = L.fit(many, L.F.col("lang"), L.F.col("text"), L.F.col("doc_id"))
+    assert model.languages == sorted(f"l{i}" for i in range(80)) + ["und"]
+    # A language of one row that is stored very often keeps its model.
+    same = spark.createDataFrame([(1, "same text", "zz", "a.com")] * 50, docs.schema)
+    assert L.fit(same, L.F.col("lang"), L.F.col("text"), L.F.col("doc_id"), rows=2).languages == ["zz", "und"]
