@@ -1,7 +1,7 @@
-"""Substring dedup: relative Lempel-Ziv factors against a distributed reference index.
+"""Substring dedup: repeated windows by hashed anchors, in place of relative Lempel-Ziv parsing.
 
 A window is `WINDOW` consecutive words of one text; its words go if the same words also
-start anywhere else. The reference of the parse is the whole collection, indexed by
+start anywhere else. The whole collection is indexed by
 anchors: of the `GRAM`-word runs inside a window the one with the smallest hash is its
 anchor, so equal windows have equal anchors wherever they stand, and one word in about
 fourteen starts one. The index is cut into blocks by the anchor's hash; a stretch of text can
