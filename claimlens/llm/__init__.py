@@ -1 +1 @@
-"""Operators for preparing training data: ten of them, and the queries that run them."""
+"""Operators for preparing training data: thirteen of them, and the queries that run them."""

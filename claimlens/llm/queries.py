@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimlens.llm import html, language, minhash, packing, pieces, quality, repetition
-from claimlens.llm import substring, toxicity, vectors
+from claimlens.llm import counts, filters, html, language, middle, minhash, packing, pieces
+from claimlens.llm import quality, repetition, substring, toxicity, vectors
 from claimlens.llm.tables import fold, table
 from claimlens.session import shared_dir
 
@@ -84,6 +84,30 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.drop("longest_repeat")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = middle.transform(table(spark, sf_dir, "documents"))
+    back = middle.restored(F.col("output"), F.col("form"))
+    return rows.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_dir(spark)
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return filters.audit(filters.pattern_counts(docs, labels))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,6 +125,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
     "op10_repetition": op10_repetition,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_token_counts": op13_token_counts,
     "pipeline": pipeline,
 }
 
@@ -171,5 +198,65 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, cove
   NOT (n_words < {repetition.MIN_WORDS} OR 100 * n_repeat_words > {repetition.MAX_REPEAT_PERCENT} * n_words)
     AND covered_words <= {repetition.MAX_COVERED} * n_words AND n_long = 0 AS kept
 FROM stats
+""",
+    "op11_fill_in_middle": f"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS us,
+    sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (
+  SELECT doc_id, text, us, len(us)::BIGINT AS n,
+    ('0x' || substr(h, 1, 8))::BIGINT % (len(us) + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (len(us) + 1) AS b,
+    text = '' OR contains(text, '{middle.PREFIX}') OR contains(text, '{middle.SUFFIX}')
+      OR contains(text, '{middle.MIDDLE}') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= {middle.PLAIN_FROM} AS plain,
+    ('0x' || substr(h, 25, 8))::BIGINT % 100 < {middle.SPM_BELOW} AS spm FROM units),
+parts AS (
+  SELECT doc_id, text, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(us[1:least(a, b)], '') AS p, array_to_string(us[least(a, b) + 1:greatest(a, b)], '') AS m,
+    array_to_string(us[greatest(a, b) + 1:], '') AS s FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text
+    WHEN 'psm' THEN '{middle.PREFIX}' || p || '{middle.SUFFIX}' || s || '{middle.MIDDLE}' || m
+    ELSE '{middle.SUFFIX}' || s || '{middle.PREFIX}' || p || '{middle.MIDDLE}' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+""",
+    "op12_filter_audit": f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+first AS (SELECT t, min(doc_id) AS low FROM words GROUP BY t),
+marked AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+bits AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(ws) < {filters.MIN_WORDS} THEN 16 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(ws)) < {filters.MIN_DISTINCT_PERCENT} * len(ws) THEN 8 ELSE 0 END
+    + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > {filters.MAX_CAPITAL_PERCENT} * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 2 ELSE 0 END
+    + CASE WHEN doc_id > low THEN 1 ELSE 0 END AS mask
+  FROM words JOIN first USING (t) LEFT JOIN marked USING (doc_id)),
+counts AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM bits GROUP BY part, mask),
+letters(f, bit) AS (VALUES ('A', 16), ('B', 8), ('C', 4), ('D', 2), ('E', 1)),
+orders(o, steps) AS (
+  SELECT '', 0 UNION ALL SELECT o || f, steps + 1 FROM orders, letters WHERE NOT contains(o, f)),
+places AS (
+  SELECT o AS filter_order, s AS step, substr(o, s, 1) AS f, substr(o, 1, s - 1) AS before
+  FROM (SELECT o, unnest(range(1, 6)) AS s FROM orders WHERE steps = 5)),
+each AS (
+  SELECT filter_order, step, f, bit, coalesce((SELECT sum(l.bit) FROM letters l WHERE contains(before, l.f)), 0)::INT AS earlier
+  FROM places JOIN letters USING (f)),
+out AS (
+  SELECT part, filter_order, step::INT AS step, f,
+    sum(CASE WHEN mask & (earlier | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN mask & earlier = 0 AND mask & bit <> 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN mask & earlier <> 0 AND mask & bit <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN mask & earlier = 0 AND mask & bit <> 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN mask & earlier = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM each CROSS JOIN counts GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM out
 """,
 }
