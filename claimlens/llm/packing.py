@@ -20,11 +20,8 @@ are not passed on.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,111 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from claimlens.llm import arrays as A
+from claimlens.llm import bpe
 
 CAPACITY = 1024
 SMALLEST_CUT = 64
 END_OF_DOCUMENT = 0
-# Words whose ids a worker keeps: two generations of this many.
-CACHED_WORDS = 200_000
-
-# A space between two characters that are not white space belongs to what follows.
-_WORD_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_UNEVEN = re.compile(r"\s[ ]|[ ]\s|^ | $")
-# Latin letters in a row are split from any mark behind them.
-_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-_LETTERS = re.compile(rf" [{_LATIN}]+")
-_LETTERS_MARK = re.compile(rf"( ?[{_LATIN}]+)([^{_LATIN}\s].*)", re.DOTALL)
-
-
-class Encoder:
-    """Ids of texts by a byte-level tokenizer file; equal words are encoded once.
-
-    The tokenizer's own splitting never joins a word to what stands before the single
-    space in front of it, so words with that space are encoded alone.
-    """
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        # These strings are single ids wherever they occur, also across words.
-        added = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = [str(t.content) for t in added]
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words made of a space and letters: one run of the tokenizer takes them all,
-        as each is one word to it."""
-        found = self.tokenizer.encode("".join(words), add_special_tokens=False)
-        word = np.array(found.word_ids, dtype=np.int64)
-        if len(word) and word[-1] != len(words) - 1:
-            return self._direct(words)
-        ids = np.array(found.ids, dtype="<u4").tobytes()
-        at = (4 * np.searchsorted(word, np.arange(len(words) + 1))).tolist()
-        return [ids[i:j] for i, j in zip(at, at[1:])]
-
-    def _learn(self, words: set[str]) -> None:
-        """Put the ids of new words into the table."""
-        new, old = self.new, self.old
-        plain, other, joined = set(), set(), []
-        for w in words:
-            if w in old:
-                new[w] = old[w]
-            elif match := _LETTERS_MARK.fullmatch(w):
-                joined.append((w, *match.groups()))
-            else:
-                (plain if _LETTERS.fullmatch(w) else other).add(w)
-        for _, *parts in joined:
-            for p in parts:
-                if p not in new:
-                    if p in old:
-                        new[p] = old[p]
-                    else:
-                        (plain if _LETTERS.fullmatch(p) else other).add(p)
-        for group, run in ((list(plain), self._letters), (list(other), self._direct)):
-            for at in range(0, len(group), 5_000):
-                part = group[at : at + 5_000]
-                new.update(zip(part, run(part)))
-        for w, head, tail in joined:
-            new[w] = new[head] + new[tail]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, without an end mark."""
-        split = []
-        for text in texts:
-            if not text:
-                split.append([])
-            elif any(s in text for s in self.special):
-                split.append(None)
-            elif _UNEVEN.search(text):
-                parts = _WORD_SPACE.split(text)
-                split.append([parts[0], *(f" {p}" for p in parts[1:])])
-            else:
-                first, *rest = text.split(" ")
-                split.append([first, *(f" {p}" for p in rest)])
-        if len(self.new) > CACHED_WORDS:
-            self.old, self.new = self.new, {}
-        new = self.new
-        self._learn({w for s in split if s for w in s if w not in new})
-        get = new.__getitem__
-        return [
-            self._direct([text])[0] if s is None else b"".join(map(get, s))
-            for text, s in zip(texts, split)
-        ]
-
-
-@lru_cache(maxsize=2)
-def load(path: str) -> Encoder:
-    """The tokenizer, read once by each Python worker."""
-    return Encoder(path)
-
-
 def cut(n: int, capacity: int, smallest: int) -> list[int]:
     """Lengths of the pieces of a document of n ids, in order."""
     out = [capacity] * (n // capacity)
@@ -221,10 +118,18 @@ def pack(
     id_type = rows.schema["id"].dataType
     wanted = PIECES if with_ids else PIECES[:-1]
     schema = T.StructType([T.StructField("id", id_type), *(T.StructField(*p) for p in wanted)])
-    end = np.array([END_OF_DOCUMENT], dtype="<u4").tobytes()
+
+    def with_end(texts: pa.Array) -> tuple[bytes, np.ndarray]:
+        """Little-endian 32-bit ids of all texts, each with its end mark, and their bounds."""
+        ids, ptr = bpe.load(tokenizer_path).tokens(texts).flat()
+        bounds = ptr + np.arange(len(ptr))
+        out = np.full(bounds[-1], END_OF_DOCUMENT, dtype="<u4")
+        here = np.ones(len(out), dtype=bool)
+        here[bounds[1:] - 1] = False
+        out[here] = ids
+        return out.tobytes(), bounds
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load(tokenizer_path)
         packer = Packer(capacity, TaskContext.get().partitionId() << 40)
         # Pieces that wait for their sequence: [id, start, ids as bytes, ids of the document].
         waiting: dict[int, tuple] = {}
@@ -256,12 +161,13 @@ def pack(
         for batch in batches:
             batch_id_type[0] = batch.schema.field("id").type
             for part in A.by_bytes(batch, "text"):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc, raw in zip(part.column("id").to_pylist(), encoder.encode(texts)):
-                    raw += end
+                body, bounds = with_end(part.column("text"))
+                bounds = bounds.tolist()
+                for doc, first, last in zip(part.column("id").to_pylist(), bounds, bounds[1:]):
                     start = 0
-                    for length in cut(len(raw) // 4, capacity, smallest_cut):
-                        waiting[number] = (doc, start, raw[4 * start : 4 * (start + length)], len(raw) // 4)
+                    for length in cut(last - first, capacity, smallest_cut):
+                        at = 4 * (first + start)
+                        waiting[number] = (doc, start, body[at : at + 4 * length], last - first)
                         packer.add(number, length, place)
                         start += length
                         number += 1
