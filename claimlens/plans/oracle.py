@@ -351,6 +351,13 @@ ORACLE_SQL: dict[str, str] = {
     "clean_text": f"SELECT doc_id, {clean('text')} AS text FROM documents",
     "label_normalize": f"""SELECT doc_id, {raw_label('doc_id')} AS raw_label,
         {label(raw_label('doc_id'))} AS label FROM documents""",
+    "evidence_csv_roundtrip": f"""SELECT doc_id AS evidence_id, CASE WHEN doc_id % 7 = 3 THEN NULL
+        WHEN doc_id % 7 = 5 THEN ''
+        WHEN doc_id % 2 = 0 THEN '"' || text || {MARK} || '", he said,' || chr(13) || chr(10) || '""'
+        ELSE text || {MARK} END AS text, source AS source_url FROM documents""",
+    "claims_csv_roundtrip": f"""SELECT CASE doc_id % 5 WHEN 0 THEN 'nan' WHEN 1 THEN ''
+        ELSE {clean('text')} END AS text, {label(raw_label('doc_id'))} AS label, source
+        FROM documents JOIN labels USING (doc_id)""",
     "claims_load": f"""SELECT * FROM (SELECT {clean('text')} AS text,
         {label(raw_label('doc_id'))} AS label, source
         FROM documents JOIN labels USING (doc_id)) WHERE text <> ''""",

@@ -44,6 +44,46 @@ def label_normalize(spark, sf):
     )
 
 
+def _evidence_with_quotes(spark, sf):
+    """Evidence with quotes, commas and line breaks of both kinds; some texts null or empty."""
+    quoted = F.concat(F.lit('"'), F.col("text"), F.lit('", he said,\r\n""'))
+    text = (
+        F.when(F.col("evidence_id") % 7 == 3, F.lit(None))
+        .when(F.col("evidence_id") % 7 == 5, F.lit(""))
+        .when(F.col("evidence_id") % 2 == 0, quoted)
+        .otherwise(F.col("text"))
+    )
+    return D.evidence(spark, sf).withColumn("text", text)
+
+
+# Column orders of the evidence files; the second has a column that nobody reads.
+CSV_ORDERS = (
+    ("id", "text", "source_url"),
+    ("source_url", "id", "note", "text"),
+    ("text", "source_url", "id"),
+)
+
+
+def evidence_csv_roundtrip(spark, sf):
+    """Evidence written as CSV files in several column orders and read back, line breaks and all."""
+    rows = _evidence_with_quotes(spark, sf).withColumn("id", F.col("evidence_id"))
+    rows = rows.withColumn("note", F.lit('a "note",\nin two lines'))
+    paths = []
+    for n, order in enumerate(CSV_ORDERS):
+        paths.append(scratch_path(spark, f"evidence-{n}"))
+        T.write_csv(rows.where(F.col("id") % len(CSV_ORDERS) == n).select(*order), paths[-1])
+    return T.read_evidence_csv(spark, paths, multi_line=True)
+
+
+def claims_csv_roundtrip(spark, sf):
+    """Labelled claims through CSV; null statements become text."""
+    path = scratch_path(spark, "claims")
+    raw = D.labeled_raw(spark, sf).select("label", "statement", "source", "doc_id")
+    gone = F.when(F.col("doc_id") % 5 == 0, F.lit(None)).when(F.col("doc_id") % 5 == 1, " \n")
+    T.write_csv(raw.withColumn("statement", gone.otherwise(F.col("statement"))).drop("doc_id"), path)
+    return T.read_claims_csv(spark, path, multi_line=True, null_as_text=True)
+
+
 def claims_load(spark, sf):
     return T.load_labeled_claims(D.labeled_raw(spark, sf))
 
@@ -461,6 +501,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         evidence_scan,
         clean_text,
         label_normalize,
+        evidence_csv_roundtrip,
+        claims_csv_roundtrip,
         claims_load,
         corpus_stats,
         hashed_embedding,

@@ -10,6 +10,7 @@ from claimlens.functions import text as X
 from claimlens.operators import retrieve as R
 from claimlens.operators.encode import Lexicon
 from claimlens.operators.lexical import TermIndex
+from claimlens.sources.records import read_records
 
 # Three rows to try the reader and the corpus with.
 DEMO_EVIDENCE = [
@@ -19,42 +20,57 @@ DEMO_EVIDENCE = [
 ]
 
 
-def _csv_header(spark: SparkSession, path: str, multi_line: bool) -> list[str]:
-    return spark.read.option("header", True).option("multiLine", multi_line).csv(path).columns
+def _csv_header(spark: SparkSession, path: str) -> list[str]:
+    return spark.read.option("header", True).csv(path).columns
 
 
-def _read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> DataFrame:
-    """Rows of CSV files with one common header; a file with another one, or a value that does
-    not fit its column, is an error. Only with `multi_line` may a value hold a line break;
-    each file is then read by one task."""
+def _read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of CSV files with one common header and one line each; a file with another header,
+    or a value that does not fit its column, is an error."""
     return (
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
-        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)
     )
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """Files with a header each, quotes doubled, nulls empty and empty strings quoted."""
+    (
+        df.write.mode("overwrite")
+        .option("header", True)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
+
+
 def _column_order(names: list[str], types: dict[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
 
 
-def read_evidence_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_evidence_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
     """evidence(evidence_id, text, source_url) from CSV.
 
-    Without an `id` column the id is derived from the row's content, which is the
-    same on every read and needs no global numbering; equal rows share it and are
-    kept apart by a counter.
+    With `multi_line` values may hold line breaks and each file may order its columns in
+    its own way; files are split among tasks all the same. Without an `id` column the id is
+    derived from the row's content, which is the same on every read and needs no global
+    numbering; equal rows share it and are kept apart by a counter.
     """
-    names = _csv_header(spark, path, multi_line)
-    _require(names, ("text", "source_url"), path)
-    df = _read_csv(spark, path, _column_order(names, {"id": T.LongType()}), multi_line)
-    if "id" in names:
-        return df.select(F.col("id").alias("evidence_id"), "text", "source_url")
+    if multi_line:
+        df = read_records(spark, path, ["text", "source_url"], ["id"])
+    else:
+        names = _csv_header(spark, path)
+        _require(names, ("text", "source_url"), path)
+        df = _read_csv(spark, path, _column_order(names, {"id": T.LongType()}))
+    if "id" in df.columns:
+        return df.select(F.col("id").cast("long").alias("evidence_id"), "text", "source_url")
     return with_content_id(df.select("text", "source_url"), "evidence_id")
 
 
@@ -112,14 +128,15 @@ def load_labeled_claims(
 def read_claims_csv(
     spark: SparkSession, path: str, multi_line: bool = False, **options
 ) -> DataFrame:
-    names = _csv_header(spark, path, multi_line)
+    if multi_line:
+        return load_labeled_claims(read_records(spark, path, ["label", "statement", "source"]), **options)
+    names = _csv_header(spark, path)
     _require(names, ("label", "statement", "source"), path)
-    return load_labeled_claims(_read_csv(spark, path, _column_order(names, {}), multi_line), **options)
+    return load_labeled_claims(_read_csv(spark, path, _column_order(names, {})), **options)
 
 
 def write_demo_evidence(spark: SparkSession, path: str) -> None:
-    rows = spark.createDataFrame(DEMO_EVIDENCE, "id long, text string, source_url string")
-    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    write_csv(spark.createDataFrame(DEMO_EVIDENCE, "id long, text string, source_url string"), path)
 
 
 def write_vectors(
