@@ -78,7 +78,7 @@ def lexical_join(
     """(claim_id, item_id, score, rank): ties by article id; an article must share a word."""
     docs = index.terms
     # Read by the size check, the scan and the probe: computed once.
-    terms = durable(_weighted_terms(distinct_tokens(claims, claim_id, claim_text), index.lex))
+    terms = durable(weighted_terms(distinct_tokens(claims, claim_id, claim_text), index.lex))
     if strategy == "auto":
         small = _collect_claims(terms, broadcast_claims)
         if small is not None:
@@ -103,7 +103,7 @@ def lexical_join(
     )
 
 
-def _weighted_terms(claim_terms: DataFrame, lex: Lexicon) -> DataFrame:
+def weighted_terms(claim_terms: DataFrame, lex: Lexicon) -> DataFrame:
     """(query_id, words: array<struct<df,token,weight>>) in order of rarity.
 
     Words no article has are left out, they cannot score. A word that most claims

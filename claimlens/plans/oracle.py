@@ -386,6 +386,7 @@ ORACLE_SQL: dict[str, str] = {
     "wiki_candidates": article_candidates("wiki", 2),
     "wiki_candidates_probe": article_candidates("wiki", 2),
     "wiki_candidates_blocks": article_candidates("wiki", 2),
+    "wiki_candidates_index": article_candidates("wiki", 2),
     "news_candidates": article_candidates("news", 3),
     "candidates": sql([*BASE, *SOURCES, CANDIDATES], "SELECT * FROM cand"),
     "retrieve": sql(RETRIEVE, "SELECT * FROM hits"),

@@ -14,6 +14,7 @@ from claimlens.operators import generate as G
 from claimlens.operators import ledger as L
 from claimlens.operators import metrics as M
 from claimlens.operators import retrieve as R
+from claimlens.operators import postings as I
 from claimlens.operators.knn import knn_join
 from claimlens.plans import analyze as P
 from claimlens.plans.evaluate import evaluate
@@ -183,6 +184,20 @@ def wiki_candidates_blocks(spark, sf):
     return _article_candidates(spark, sf, articles, R.ENCYCLOPAEDIA_K, R.ENCYCLOPAEDIA, **how)
 
 
+def wiki_candidates_index(spark, sf):
+    """From a stored inverted index: the articles are read once, when it is written."""
+    path = scratch_path(spark, "index")
+    articles = D.articles(spark, sf)
+    I.write_index(E.distinct_tokens(articles, "item_id", "body"), path, n_parts=16, block_articles=64)
+    articles.select("item_id", "source", "text").write.parquet(f"{path}/items")
+    hits = I.index_join(
+        D.claims(spark, sf), I.read_index(spark, path), R.ENCYCLOPAEDIA_K, "claim_id", "text", first_postings=50
+    )
+    found = hits.select("claim_id", F.col("rank").alias("pos"), "item_id", F.col("score").alias("relevance"))
+    items = spark.read.parquet(f"{path}/items")
+    return found.join(items, "item_id").select("claim_id", "pos", "item_id", "source", "text", "relevance")
+
+
 def news_candidates(spark, sf):
     return _article_candidates(spark, sf, D.news(spark, sf), R.NEWS_K, R.NEWS)
 
@@ -516,6 +531,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         knn_dirty_vectors,
         wiki_candidates_probe,
         wiki_candidates_blocks,
+        wiki_candidates_index,
         candidates,
         retrieve,
         retrieve_stats,
