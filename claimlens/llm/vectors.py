@@ -20,11 +20,12 @@ gives an empty one; other input columns are not passed on.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from claimlens.llm import arrays as A
 from claimlens.llm.components import components
@@ -37,16 +38,25 @@ BLOCK = 1_024
 
 def layout(n: int, min_cosine: float = MIN_COSINE, recall: float = RECALL) -> tuple[int, int]:
     """(bits, tables) for n vectors."""
-    bits = max(4, round(log2(max(n, 2))) - 4)
+    bits = max(4, round(log2(max(n, 2))) - 6)
     agree = (1 - acos(min_cosine) / pi) ** bits
     return bits, max(1, ceil(log(1 - recall) / log(1 - agree)))
 
 
+@lru_cache(maxsize=16)
 def planes(dim: int, bits: int, tables: int) -> np.ndarray:
-    """Normal vectors of the hyperplanes, the same for equal arguments."""
+    """Normal vectors of the hyperplanes, the same for equal arguments; made once per worker."""
     return np.random.default_rng([dim, bits, tables]).normal(size=(dim, tables * bits))
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Vectors of length 1, in double precision."""
+    x = x.astype(np.float64)
+    # Scaled first, so that very large or small numbers keep a length.
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def keys(x: np.ndarray, normals: np.ndarray, bits: int) -> np.ndarray:
     """Key of each vector in each table."""
     signs = (x @ normals > 0).reshape(len(x), -1, bits)
@@ -115,12 +125,16 @@ def near_duplicates(
     n_classes = classes.count()
     bits, tables = layout(n_classes, min_cosine, recall)
 
+    # Vectors travel as they came: single precision holds all of a float column.
+    single = isinstance(vectors.schema[vector_column].dataType.elementType, T.FloatType)
+    number = np.float32 if single else np.float64
+
     def unit(column: pa.Array) -> np.ndarray:
-        x = np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64)
-        return x.reshape(len(column), -1)
+        x = np.frombuffer(b"".join(column.to_pylist()), dtype=number)
+        return unit_rows(x.reshape(len(column), -1))
 
     def hashed(batches):
-        """A row for each class and table, with the unit vector as bytes."""
+        """A row for each class and table, with the vector as bytes."""
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -131,11 +145,8 @@ def near_duplicates(
             for dim in np.unique(sizes):
                 for some in np.array_split(np.flatnonzero(sizes == dim), ceil((sizes == dim).sum() / 2_000)):
                     x = np.stack([flat[at[r] : at[r + 1]] for r in some])
-                    # Scaled first, so that very large or small numbers keep a length.
-                    x = x / np.abs(x).max(1, keepdims=True)
-                    x = x / np.sqrt((x * x).sum(1, keepdims=True))
-                    key = keys(x, planes(int(dim), bits, tables), bits)
-                    body = [row.tobytes() for row in x]
+                    key = keys(unit_rows(x), planes(int(dim), bits, tables), bits)
+                    body = [row.tobytes() for row in x.astype(number)]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.tile(np.arange(tables, dtype=np.int32), len(some))),
