@@ -323,6 +323,23 @@ LEDGER = [
 ]
 LOSS = "round(greatest(0.01, 0.5 - 0.05 * updates)::DOUBLE, 6)"
 
+# Batches of which some have no rows: these change nothing.
+GAPS = [
+    LEDGER[0].replace("b AS (", "b0 AS ("),
+    "b AS (SELECT * REPLACE (CASE WHEN batch_seq % 4 = 3 THEN 0 ELSE n_rows END AS n_rows) FROM b0)",
+    """l AS (SELECT *, (sum(n_rows) OVER w)::BIGINT AS steps, count(*) FILTER (n_rows > 0) OVER w AS updates,
+      max(finished_at) FILTER (n_rows > 0) OVER w AS last_update FROM b
+      WINDOW w AS (PARTITION BY run_id ORDER BY batch_seq))""",
+]
+
+# A row is late if its window ended two hours before the latest event of earlier deliveries.
+LATE_EVENTS = """e AS (SELECT event_id, ts, event_type, time_bucket(INTERVAL '1 hour', ts) AS w,
+      date_diff('day', DATE '2024-01-01', ts::DATE) // 8 + CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END AS d
+      FROM events),
+    m AS (SELECT d, max(max(ts)) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+      - INTERVAL '2 hours' AS mark FROM e GROUP BY d),
+    s AS (SELECT e.*, coalesce(w + INTERVAL '1 hour' <= mark, false) AS late FROM e JOIN m USING (d))"""
+
 STREAM_ROWS = f"""SELECT doc_id AS id, {clean('text')} AS text, {label(raw_label('doc_id'))} AS label,
     strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id % 1000), '{TIME}') AS timestamp,
     'sim' AS platform"""
@@ -499,6 +516,19 @@ ORACLE_SQL: dict[str, str] = {
         evidence FROM analysis""",
     ),
     "stream_knn": KNN,
+    "stream_knn_append": KNN,
+    "stream_run_state": sql(
+        GAPS,
+        f"""SELECT run_id, batch_seq, n_rows, strftime(started_at, '{TIME}') AS started_at,
+        strftime(finished_at, '{TIME}') AS finished_at, steps, updates,
+        strftime(last_update, '{TIME}') AS last_update FROM l""",
+    ),
+    "stream_windowed_append": f"""WITH {LATE_EVENTS}
+        SELECT 'window' AS kind, strftime(w, '{TIME}') AS window_start, event_type, count(*) AS n,
+          NULL::BIGINT AS event_id FROM s
+        WHERE NOT late AND w + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '2 hours' FROM s WHERE NOT late)
+        GROUP BY w, event_type
+        UNION ALL SELECT 'late', strftime(w, '{TIME}'), event_type, NULL, event_id FROM s WHERE late""",
     "stream_ledger": f"""SELECT event_type, count(*) AS steps,
         strftime(max(ts), '{TIME}') AS last_update FROM events GROUP BY 1""",
     "stream_dedup": f"SELECT event_id, strftime(ts, '{TIME}') AS ts, event_type FROM events",

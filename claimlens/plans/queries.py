@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from claimlens import schemas as S
 from claimlens.functions import text as X
 from claimlens.functions import vectors as Vec
 from claimlens.functions import verdict as V
@@ -22,6 +23,9 @@ from claimlens.session import scratch_path
 from claimlens.sources import driver_tables as D
 from claimlens.sources import tables as T
 from claimlens.streaming import claims as St
+from claimlens.streaming import nearest as N
+from claimlens.streaming import runs as Runs
+from claimlens.streaming import windows as Win
 
 TIME = "yyyy-MM-dd HH:mm:ss"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -472,6 +476,16 @@ def stream_knn(spark, sf):
     return spark.read.parquet(out).drop("batch_id")
 
 
+def stream_knn_append(spark, sf):
+    """The same hits without state and without a function per batch."""
+    land, out, state = (scratch_path(spark, n) for n in ("land", "out", "state"))
+    vecs = D.table(spark, sf, "embeddings")
+    vecs.select("vec_id", "embedding").repartition(2, "vec_id").write.parquet(land)
+    stream = St.read_claim_stream(spark, land, 1, "vec_id long, embedding array<float>")
+    St.append_to(N.nearest(stream, N.corpus_row(vecs, "vec_id"), 6, "vec_id"), out, state).awaitTermination()
+    return spark.read.parquet(out)
+
+
 def _land_events(spark, sf, copies: int = 1):
     land = scratch_path(spark, "events")
     ts = F.col("ts").cast("timestamp").alias("ts")
@@ -496,6 +510,21 @@ def stream_ledger(spark, sf):
     return _text_times(_latest(spark, out), "last_update")
 
 
+def stream_run_state(spark, sf):
+    """Run counters as keyed state: three deliveries, a restart after each, one of them repeated."""
+    land, out, state = (scratch_path(spark, n) for n in ("batches", "out", "state"))
+    empty = F.col("batch_seq") % 4 == 3
+    batches = D.batches(spark, sf).withColumn("n_rows", F.when(empty, 0).otherwise(F.col("n_rows")))
+    third = F.floor(F.col("batch_seq") * 3 / F.lit(batches.agg(F.max("batch_seq") + 1).first()[0] or 1))
+    for delivery in ([0], [0, 1], [2]):
+        batches.where(third.isin(delivery)).write.mode("append").parquet(land)
+        stream = spark.readStream.schema(S.BATCHES).parquet(land)
+        with Runs.rocksdb_state(spark):
+            rows = Runs.run_state(stream)
+            St.per_batch(rows, lambda df, _: df, out, state, mode="update").awaitTermination()
+    return _text_times(spark.read.parquet(out).drop("batch_id"), "started_at", "finished_at", "last_update")
+
+
 def stream_dedup(spark, sf):
     out, state = scratch_path(spark, "out"), scratch_path(spark, "state")
     first = St.drop_repeats(_land_events(spark, sf, copies=2), ["event_id"], "ts", "60 days")
@@ -510,6 +539,40 @@ def stream_windowed(spark, sf):
     return _text_times(_latest(spark, out), "window_start")
 
 
+# Days of events in one delivery, and which of them come with the next one.
+DELIVERY_DAYS, HELD_BACK = 8, 17
+
+
+def stream_windowed_append(spark, sf):
+    """Windows given out once, and the rows that came after theirs, from deliveries with stragglers."""
+    land, out, first, windows, second = (
+        scratch_path(spark, n) for n in ("events", "split", "state", "windows", "state")
+    )
+    schema = "event_id long, ts timestamp, event_type string"
+    ts = F.col("ts").cast("timestamp")
+    held = F.when(F.col("event_id") % HELD_BACK == 0, 1).otherwise(0)
+    delivery = F.floor(F.datediff("ts", F.lit("2024-01-01")) / DELIVERY_DAYS) + held
+    events = D.table(spark, sf, "events").select("event_id", ts.alias("ts"), "event_type", delivery.alias("d"))
+    for d in range((events.agg(F.max("d")).first()[0] or 0) + 1):
+        events.where(F.col("d") == d).drop("d").write.mode("append").parquet(land)
+        stream = spark.readStream.schema(schema).parquet(land)
+        Win.split_late(stream, "ts", "1 hour", "2 hours", out, first).awaitTermination()
+        counts = Win.closed_windows(Win.in_time_stream(spark, out, schema), "ts", "event_type", "1 hour", "2 hours")
+        St.append_to(counts, windows, second).awaitTermination()
+    none = F.lit(None)
+    closed = spark.read.parquet(windows).select(
+        F.lit("window").alias("kind"), "window_start", "event_type", "n", none.cast("long").alias("event_id")
+    )
+    late = Win.late_rows(spark, out, schema).select(
+        F.lit("late").alias("kind"),
+        F.window("ts", "1 hour")["start"].alias("window_start"),
+        "event_type",
+        none.cast("long").alias("n"),
+        "event_id",
+    )
+    return _text_times(closed.unionByName(late), "window_start")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -558,8 +621,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stream_ingest,
         stream_analyze,
         stream_knn,
+        stream_knn_append,
         stream_ledger,
+        stream_run_state,
         stream_dedup,
         stream_windowed,
+        stream_windowed_append,
     )
 }
