@@ -9,7 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from claimlens.functions import text as X
@@ -20,9 +23,12 @@ Encoder = Callable[[DataFrame], DataFrame]
 
 DIM = 256
 IDF_UNITS = 1e6
-# Tokens joined by broadcast because they are the most frequent ones. The table has
-# this many rows at most whatever the corpus size, about 1 MB.
+# Tokens met by broadcast because they are the most frequent ones, whatever the corpus size:
+# in joins, and with their prices in the encoder's tasks, about 1 MB either way.
 HOT_TOKENS = 10_000
+PRICED_TOKENS = 20_000
+# Texts whose bucket sums are held as one dense array.
+STEP_TEXTS = 4_096
 
 
 @dataclass(frozen=True)
@@ -33,29 +39,6 @@ class Lexicon:
     n_docs: int
 
 
-def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, token, tf) without a shuffle: run lengths of the sorted tokens of each row."""
-    sorted_tokens = docs.select(
-        F.col(id_col).alias("id"), F.sort_array(X.tokens(F.col(text_col))).alias("_s")
-    )
-    s = F.col("_s")
-    first = F.transform(
-        s, lambda t, i: F.when((i == 0) | (F.get(s, i - 1) != t), i.cast("int"))
-    )
-    marked = sorted_tokens.select(
-        "id", "_s", F.filter(first, lambda p: p.isNotNull()).alias("_at"), F.size("_s").alias("_n")
-    )
-    at = F.col("_at")
-    runs = F.transform(
-        at,
-        lambda p, j: F.struct(
-            F.get(s, p).alias("token"),
-            (F.coalesce(F.get(at, j + 1), F.col("_n")) - p).alias("tf"),
-        ),
-    )
-    return marked.select("id", F.inline(runs))
-
-
 def distinct_tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, terms): the distinct tokens of each text as one array."""
     return docs.select(
@@ -92,6 +75,66 @@ def bucket_of(token: Column, dim: int = DIM) -> Column:
     return F.pmod(head, F.lit(dim)).cast("int")
 
 
+def _sum_in_rows(prices: pa.Table, dim: int):
+    """A task that sums the priced tokens of each text into buckets and hands on the others.
+
+    A text gives one row with its (bucket, weight) pairs, the first of them (-1, 0), under a
+    token that no text has; each other distinct token gives a row with its count.
+    """
+    shared = {c: prices.column(c).combine_chunks() for c in ("token", "bucket", "idf")}
+
+    def pairs(buckets: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        columns = [pa.array(buckets, pa.int32()), pa.array(weights, pa.int64())]
+        items = pa.StructArray.from_arrays(columns, ["bucket", "weight"])
+        return pa.ListArray.from_arrays(pa.array(at), items)
+
+    def step(ids: pa.Array, tokens: pa.ListArray) -> Iterator[pa.RecordBatch]:
+        n, width = len(ids), dim + 1
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        text, flat = np.repeat(np.arange(n), sizes), tokens.flatten()
+        code = pc.fill_null(pc.index_in(flat, value_set=shared["token"]), -1).to_numpy(zero_copy_only=False)
+        known = code >= 0
+        # Bucket -1 is the first column and always there.
+        cell = text[known] * width + shared["bucket"].to_numpy()[code[known]] + 1
+        price = shared["idf"].to_numpy()[code[known]]
+        weight = np.bincount(cell, weights=price, minlength=n * width)
+        there = np.bincount(cell, minlength=n * width) > 0
+        there[::width] = True
+        at = np.flatnonzero(there)
+        yield pa.RecordBatch.from_arrays(
+            [
+                ids,
+                pc.binary_join_element_wise("", pc.fill_null(ids.cast(pa.string()), ""), " "),
+                pairs(at % width - 1, weight[at].astype(np.int64), there.reshape(n, width).sum(1)),
+                pa.nulls(n, pa.int32()),
+            ],
+            names=["id", "token", "e", "tf"],
+        )
+        coded = flat.filter(pa.array(~known)).dictionary_encode()
+        words = len(coded.dictionary)
+        if words:
+            key = text[~known] * words + coded.indices.to_numpy(zero_copy_only=False)
+            key, count = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ids.take(pa.array(key // words)),
+                    coded.dictionary.take(pa.array(key % words)),
+                    pa.nulls(len(key), pairs(at[:0], at[:0], at[:0]).type),
+                    pa.array(count, pa.int32()),
+                ],
+                names=["id", "token", "e", "tf"],
+            )
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, STEP_TEXTS):
+                part = batch.slice(low, STEP_TEXTS)
+                yield from step(part.column("id"), part.column("tokens"))
+
+    return task
+
+
 def bucket_weights(
     docs: DataFrame,
     id_col: str,
@@ -99,42 +142,43 @@ def bucket_weights(
     lex: Lexicon,
     own: DataFrame | None = None,
     dim: int = DIM,
-    hot: int = HOT_TOKENS,
+    hot: int = PRICED_TOKENS,
 ) -> DataFrame:
-    """(id, bucket, weight): summed tf * idf per hash bucket; bucket -1 for a text without tokens.
+    """(id, bucket, weight): summed tf * idf per hash bucket, and (id, -1, 0) for every text.
 
-    The most frequent tokens of the texts being encoded meet their weight by a
-    broadcast of at most `hot` rows and are never shuffled by token. What is left is
-    joined by token; none of those can dominate, since `hot` others occur more often.
-    `own` gives the (token, df) of the encoded texts when they are not the corpus of `lex`.
+    Texts are tokenised once. The most frequent tokens of the texts being encoded are priced
+    in the row, from a broadcast of at most `hot` prices, and summed into buckets there. The
+    others leave the row to be joined by token; none of those can dominate, since `hot`
+    others occur more often. `own` gives the (token, df) of the encoded texts when they are
+    not the corpus of `lex`.
     """
-    counts = token_counts(docs, id_col, text_col)
     priced = lex.df.select(
         "token",
-        "df",
         bucket_of(F.col("token"), dim).alias("bucket"),
         idf_units(lex.n_docs, F.col("df")).alias("idf"),
     )
-    top = (lex.df if own is None else own).orderBy(F.desc("df"), F.asc("token")).limit(hot).select("token")
     # A token the corpus has not seen weighs as one with document frequency 0.
-    bucket = F.coalesce("bucket", bucket_of(F.col("token"), dim)).alias("bucket")
-    idf = F.coalesce("idf", idf_units(lex.n_docs, F.lit(0))).alias("idf")
-    priced_top = F.broadcast(top.join(priced, "token", "left").select("token", bucket, idf))
-    frequent = counts.join(priced_top, "token")
-    others = counts.join(F.broadcast(top), "token", "left_anti").join(priced, "token", "left")
-
-    def weigh(rows):
-        return rows.select("id", bucket, (F.col("tf") * idf).alias("weight"))
-
-    every = docs.select(
-        F.col(id_col).alias("id"), F.lit(-1).alias("bucket"), F.lit(0).cast("long").alias("weight")
-    )
+    bucket = F.coalesce("bucket", bucket_of(F.col("token"), dim))
+    idf = F.coalesce("idf", idf_units(lex.n_docs, F.lit(0)))
+    top = (lex.df if own is None else own).orderBy(F.desc("df"), F.asc("token")).limit(hot)
+    if own is None:
+        price = idf_units(lex.n_docs, F.col("df")).alias("idf")
+        prices = top.select("token", bucket_of(F.col("token"), dim).alias("bucket"), price)
+    else:
+        found = top.select("token").join(priced, "token", "left")
+        prices = found.select("token", bucket.alias("bucket"), idf.alias("idf"))
+    rows = docs.select(F.col(id_col).alias("id"), X.tokens(F.col(text_col)).alias("tokens"))
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("token", T.StringType())])
+    pair = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("weight", T.LongType())])
+    schema.add("e", T.ArrayType(pair)).add("tf", T.IntegerType())
+    summed = rows.mapInArrow(_sum_in_rows(prices.toArrow(), dim), schema)
+    one = F.array(F.struct(bucket.alias("bucket"), (F.col("tf") * idf).alias("weight")))
     # One exchange on id serves this sum and the per-row array built from it.
     return (
-        weigh(frequent)
-        .unionByName(weigh(others))
-        .unionByName(every)
+        summed.join(priced, "token", "left")
+        .select("id", F.coalesce("e", one).alias("e"))
         .repartition("id")
+        .select("id", F.inline("e"))
         .groupBy("id", "bucket")
         .agg(F.sum("weight").alias("weight"))
     )

@@ -19,7 +19,7 @@ from claimlens.operators import postings as I
 from claimlens.operators.knn import knn_join
 from claimlens.plans import analyze as P
 from claimlens.plans.evaluate import evaluate
-from claimlens.session import scratch_path
+from claimlens.session import durable, scratch_path
 from claimlens.sources import driver_tables as D
 from claimlens.sources import tables as T
 from claimlens.streaming import claims as St
@@ -99,7 +99,10 @@ def corpus_stats(spark, sf):
 
 def hashed_embedding(spark, sf):
     docs = D.wide(D.table(spark, sf, "documents"))
-    rows = E.bucket_weights(docs, "doc_id", "text", E.lexicon(docs, "doc_id", "text"))
+    words = E.lexicon(docs, "doc_id", "text")
+    # Read for the prices of frequent words and for those of the others: counted once.
+    lex = E.Lexicon(durable(words.df), words.n_docs)
+    rows = E.bucket_weights(docs, "doc_id", "text", lex)
     return rows.where("bucket >= 0").select(F.col("id").alias("doc_id"), "bucket", "weight")
 
 

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from claimlens.operators import encode as E
 
@@ -35,10 +36,21 @@ def vectors(df, key):
     return np.array([r.embedding for r in df.orderBy(key).collect()])
 
 
-def test_token_counts(spark):
-    got = {(r.id, r.token): r.tf for r in E.token_counts(frame(spark, TEXTS), "id", "text").collect()}
-    want = {(i, w): n for i, t in enumerate(TEXTS) for w, n in Counter(words(t)).items()}
-    assert got == want
+def test_rows_are_summed_where_they_are(spark):
+    """Priced words become bucket sums of their text; the others leave it with their counts."""
+    prices = pa.table({"token": ["the", "cat", "sat"], "bucket": pa.array([3, 3, 0], pa.int32()), "idf": [5, 7, 0]})
+    texts = [words(t) for t in TEXTS] + [None, ["the"] * 40_000]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(8)), "tokens": pa.array(texts, pa.list_(pa.string()))})
+    out = pa.Table.from_batches(E._sum_in_rows(prices, 4)([batch])).to_pylist()
+    sums = {r["id"]: [(p["bucket"], p["weight"]) for p in r["e"]] for r in out if r["e"] is not None}
+    for i, t in enumerate(texts):
+        want = Counter({3: 0})
+        for w in t or []:
+            want[3] += {"the": 5, "cat": 7}.get(w, 0)
+        zero = [(0, 0)] if "sat" in (t or []) else []
+        assert sums[i] == [(-1, 0), *zero, *([(3, want[3])] if want[3] else [])]
+    left = {(r["id"], r["token"]): r["tf"] for r in out if r["e"] is None}
+    assert left == {(i, w): t.count(w) for i, t in enumerate(texts) for w in t or [] if w not in ("the", "cat", "sat")}
 
 
 def test_encode_corpus_and_unseen_words(spark):

@@ -1,8 +1,9 @@
 """What the physical plans must look like at any scale."""
 
-from claimlens.operators.encode import bucket_weights, lexicon
+from claimlens.operators.encode import Lexicon, bucket_weights, lexicon
 from claimlens.operators.knn import knn_join
 from claimlens.plans.queries import QUERIES
+from claimlens.session import durable
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,11 +25,14 @@ def test_knn_prunes_before_the_shuffle_and_leaves_items_in_place(spark):
     assert "label" not in text  # only the id and the vector are read
 
 
-def test_encoder_shuffles_no_frequent_word(spark):
+def test_encoder_tokenises_once_and_sums_before_the_exchange(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    text = plan(bucket_weights(docs, "doc_id", "text", lexicon(docs, "doc_id", "text")))
-    assert "TakeOrderedAndProject(limit=10000" in text
+    lex = lexicon(docs, "doc_id", "text")
+    text = plan(bucket_weights(docs, "doc_id", "text", Lexicon(durable(lex.df), lex.n_docs)))
     assert text.count("REPARTITION_BY_COL") == 1
+    # The tree is printed with the exchange above the task that sums, and the text is split once.
+    assert text.index("REPARTITION_BY_COL") < text.index("MapInArrow")
+    assert text.count("split(lower(") == text.count("MapInArrow") == 1
 
 
 def test_history_takes_the_newest_without_a_full_sort(spark):
