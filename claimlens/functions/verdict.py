@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import json
 
-from claimlens.functions.text import SPACE, contains_any, strip
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from claimlens import schemas as S
+from claimlens.functions.text import contains_any, strip
 
 # Prompt size, text used without evidence, default label and confidences.
 PROMPT_TEXTS = 5
@@ -19,6 +23,7 @@ PROMPT_TAIL = (
     "Then explain briefly why and give a counterfactual — what would make the claim true. "
     "Respond ONLY in JSON format with keys: label, confidence, explanation, counterfactual."
 )
+_FIELDS = ("label", "confidence", "explanation", "counterfactual", "reasoning")
 # Decoding defaults.
 PARAM_DEFAULTS = {
     "max_length": 256.0,
@@ -38,14 +43,6 @@ CONSENSUS_COUNTERFACTUAL = (
 CONFIRMING = ("confirm", "proves")
 DOUBTING = ("no evidence", "unclear")
 
-# Text that Python's float() reads as a number.
-_NUMBER = (
-    r"(?i)^\s*[+-]?(?:(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:e[+-]?\d+(?:_\d+)*)?"
-    r"|nan|inf(?:inity)?)\s*$"
-)
-_FIELDS = ("label", "confidence", "explanation", "counterfactual", "reasoning")
-
-
 def evidence_texts(evidence: Column) -> Column:
     """Texts of the hits, without null or empty ones, in rank order."""
     return F.filter(F.transform(evidence, lambda h: h["text"]), lambda t: t.isNotNull() & (t != ""))
@@ -82,49 +79,64 @@ def literal_verdict(label: str, confidence: float, explanation: Column | str) ->
     return _verdict(F.lit(label), F.lit(confidence), exp, F.lit(None), F.lit(None))
 
 
+def _text_of(value) -> str | None:
+    """A JSON value as text: strings as they are, others as JSON."""
+    if value is None:
+        return None
+    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    # An escaped half of a character has no UTF-8.
+    return text.encode("utf-8", "replace").decode()
+
+
+def _json_row(text: str | None) -> tuple:
+    """(ok, label, confidence, explanation, counterfactual, reasoning) of one JSON text."""
+    if text is None:
+        return (None,) * 6
+    try:
+        doc = json.loads(text)
+        confidence = float(doc.get("confidence", JSON_CONFIDENCE))
+        steps = doc.get("reasoning", [])
+        if steps is not None and not isinstance(steps, list):
+            steps = [steps]
+        reasoning = None if steps is None else [_text_of(s) for s in steps]
+        fields = (doc.get("label", UNCERTAIN), doc.get("explanation", ""), doc.get("counterfactual", ""))
+        label, explanation, counterfactual = (_text_of(f) for f in fields)
+    except (ValueError, TypeError, OverflowError, RecursionError):
+        return (False, *(None,) * 5)
+    return True, label, confidence, explanation, counterfactual, reasoning
+
+
+_JSON_TYPE = T.StructType([T.StructField("ok", T.BooleanType()), *S.VERDICT.fields])
+
+
+@F.arrow_udf(_JSON_TYPE)
+def json_verdict(texts: pa.Array) -> pa.Array:
+    """The strict parser, a batch of texts at a time.
+
+    No built-in function tells all of what counts here: content behind the object, numbers in
+    quotes with any digits, NaN and infinities, the last of repeated keys.
+    """
+    types = (pa.bool_(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.list_(pa.string()))
+    rows = [_json_row(t) for t in texts.to_pylist()]
+    columns = zip(*rows) if rows else [[]] * len(types)
+    arrays = [pa.array(c, type=t) for c, t in zip(columns, types)]
+    return pa.StructArray.from_arrays(arrays, _JSON_TYPE.names)
+
+
 def with_parsed_output(df: DataFrame, raw: str = "raw_output", out: str = "verdict") -> DataFrame:
     """Model text to a verdict struct.
 
     Text that opens with a brace is JSON: a key that is absent takes its default, a
     key that is present keeps its value, null included. A confidence that is not a
-    number, or text that is not one JSON object, gives the fallback verdict. Other
-    text is judged by keywords.
+    number, or text that is not one JSON object, gives the fallback verdict. A reason that is
+    no list is a list of one. Other text is judged by keywords.
     """
     t = F.col(raw)
-    schema = ", ".join(f"{f} string" for f in _FIELDS) + ", _bad string"
-    options = {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"}
     df = df.withColumn("_text", strip(t)).withColumn(
         "_json", F.startswith(F.col("_text"), F.lit("{"))
     )
-    doc = F.when(F.col("_json"), t)
-    df = df.withColumn("_p", F.from_json(doc, schema, options)).withColumn(
-        "_keys", F.json_object_keys(doc)
-    )
-
-    def has(key):
-        return F.array_contains(F.col("_keys"), key)
-
-    given = F.col("_p.confidence")
-    bare_bool = F.regexp_extract(t, rf'"confidence"{SPACE}*:{SPACE}*(true|false)', 1)
-    number = (
-        F.when((given == "true") & (bare_bool == "true"), F.lit(1.0))
-        .when((given == "false") & (bare_bool == "false"), F.lit(0.0))
-        .otherwise(F.when(given.rlike(_NUMBER), F.regexp_replace(given, "_", "").try_cast("double")))
-    )
-    df = df.withColumn("_conf", F.when(has("confidence"), number).otherwise(F.lit(JSON_CONFIDENCE)))
-    broken = (
-        F.col("_keys").isNull()
-        | F.col("_p._bad").isNotNull()
-        | F.col("_conf").isNull()
-        | ~t.rlike(r"\}[ \t\r\n]*\z")
-    )
-
-    def field(key, default):
-        return F.when(has(key), F.col(f"_p.{key}")).otherwise(F.lit(default))
-
-    reasoning = F.when(
-        has("reasoning"), F.from_json(F.col("_p.reasoning"), "array<string>")
-    ).otherwise(F.array().cast("array<string>"))
+    # Only what looks like JSON is sent to the parser.
+    df = df.withColumn("_p", json_verdict(F.when(F.col("_json"), t)))
     none = F.array().cast("array<string>")
     low = F.lower(t)
     keyword = (
@@ -147,18 +159,10 @@ def with_parsed_output(df: DataFrame, raw: str = "raw_output", out: str = "verdi
                 none,
             ),
         )
-        .when(broken, fallback)
-        .otherwise(
-            _verdict(
-                field("label", UNCERTAIN),
-                F.col("_conf"),
-                field("explanation", ""),
-                field("counterfactual", ""),
-                reasoning,
-            )
-        )
+        .when(F.col("_p.ok"), _verdict(*[F.col(f"_p.{c}") for c in _FIELDS]))
+        .otherwise(fallback)
     )
-    return df.withColumn(out, verdict).drop("_text", "_json", "_p", "_keys", "_conf")
+    return df.withColumn(out, verdict).drop("_text", "_json", "_p")
 
 
 def with_evidence_rules(

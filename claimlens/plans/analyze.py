@@ -24,20 +24,23 @@ STATUS_SKIPPED = "Skipped (no generator)"
 def attach_evidence(claims: DataFrame, corpus: R.Corpus | None, k: int = PIPELINE_K) -> DataFrame:
     """Add `evidence`, the ranked hits of every claim; [] for blank claims and claims without hits.
 
-    Equal texts are looked up once, under the smallest id among them.
+    Equal texts are looked up once, under the smallest id among them. Claims find their
+    text's hits by a digest, so that no text is shuffled; blank ones take no part in that.
     """
     none = F.array().cast(S.EVIDENCE_LIST)
     if corpus is None:
         return claims.withColumn("evidence", none)
+    blank, digest = X.is_blank(F.col("text")), F.unhex(F.sha2("text", 256)).alias("_digest")
+    asked = claims.where(~blank).select("*", digest)
     distinct = durable(
-        claims.where(~X.is_blank(F.col("text")))
-        .groupBy("text")
-        .agg(F.min("claim_id").alias("claim_id"))
+        asked.groupBy("_digest").agg(F.min("claim_id").alias("claim_id"), F.first("text").alias("text"))
+    )
+    hits = R.as_list(R.retrieve(distinct.select("claim_id", "text"), corpus, k))
+    found = distinct.select("_digest", "claim_id").join(hits, "claim_id").select("_digest", "evidence")
+    joined = asked.join(found, "_digest", "left")
+    return joined.select(*claims.columns, F.coalesce("evidence", none).alias("evidence")).unionByName(
+        claims.where(blank).withColumn("evidence", none)
     )
-    hits = R.as_list(R.retrieve(distinct, corpus, k))
-    found = distinct.join(hits, "claim_id").select("text", "evidence")
-    joined = claims.join(found, "text", "left")
-    return joined.select(*claims.columns, F.coalesce("evidence", none).alias("evidence"))
 
 
 def analyze(

@@ -502,6 +502,13 @@ ORACLE_SQL: dict[str, str] = {
     "loss_curve": sql(LEDGER, f"SELECT run_id, updates AS update, {LOSS} AS loss FROM l"),
     "recent_history": """SELECT event_id, user_id, event_type, value FROM events
         ORDER BY event_id DESC LIMIT 10""",
+    "history_tail": sql(
+        [CLAIMS, OUTPUTS, *parsed("outputs", "claim_id")],
+        """SELECT id % 2 AS seq, id AS claim_id, left(cl.text, 80) AS preview,
+        CASE WHEN raw_output IS NULL THEN 'Uncertain' ELSE coalesce(label, 'Uncertain') END AS label,
+        CASE WHEN raw_output IS NULL THEN 0.5 ELSE confidence END AS confidence
+        FROM cl LEFT JOIN parsed ON claim_id = id ORDER BY id % 2 DESC, id DESC LIMIT 10""",
+    ),
     "vectors_roundtrip": sql(
         [EVIDENCE, counts("ev"), LEXICON, weights("ev"), unit("ev")],
         """SELECT ev.id AS evidence_id, source AS source_url, bucket::INTEGER AS pos,

@@ -414,6 +414,16 @@ def recent_history(spark, sf):
     return L.recent_history(events.select("event_id", "user_id", "event_type", "value"), "event_id")
 
 
+def history_tail(spark, sf):
+    """Two analysed batches, the second delivered twice, written to a history; its last ten entries."""
+    path = scratch_path(spark, "history")
+    outputs = G.precomputed(D.model_outputs(spark, sf))
+    for batch in (0, 1, 1):
+        claims = D.claims(spark, sf).where(F.col("claim_id") % 2 == batch)
+        T.append_history(L.history_rows(P.analyze(claims, None, outputs), batch), path)
+    return T.read_recent(spark, path).drop("status")
+
+
 def vectors_roundtrip(spark, sf):
     evidence = D.evidence(spark, sf)
     path = scratch_path(spark, "vectors")
@@ -619,6 +629,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ledger_report,
         loss_curve,
         recent_history,
+        history_tail,
         vectors_roundtrip,
         claim_stream_rows,
         stream_ingest,

@@ -9,6 +9,7 @@ from claimlens import schemas as S
 from claimlens.functions import text as X
 from claimlens.operators import retrieve as R
 from claimlens.operators.encode import Lexicon
+from claimlens.operators.ledger import recent_history
 from claimlens.operators.lexical import TermIndex
 from claimlens.sources.records import read_records
 
@@ -216,4 +217,28 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_history(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+    """Add the rows of whole batches, in a folder by batch; a batch that is written again replaces itself."""
+    (
+        rows.repartition("seq")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("seq")
+        .parquet(path)
+    )
+
+
+def read_recent(spark: SparkSession, path: str, n: int = 10) -> DataFrame:
+    """The last n entries of a stored history, newest first.
+
+    Batches are looked at from the newest one back, twice as many each time, until they hold
+    n entries; only their folders are read, and for counting no column of them.
+    """
+    history = read_history(spark, path)
+    newest, oldest = history.agg(F.max("seq"), F.min("seq")).first()
+    back = 1
+    while newest is not None:
+        some = history.where(F.col("seq") > newest - back)
+        if newest - back < oldest or some.count() >= n:
+            return recent_history(some, n=n)
+        back *= 2
+    return history

@@ -66,6 +66,27 @@ def test_history_append(spark, tmp_path):
     assert [r.seq for r in got] == list(range(29, 19, -1))
 
 
+def test_recent_entries_are_found_by_batch(spark, tmp_path):
+    path = str(tmp_path / "h")
+    assert T.read_recent(spark, path).collect() == []
+
+    def batch(seq, ids, label="True"):
+        rows = [(seq, i, "p", label, 0.5, "s") for i in ids]
+        T.append_history(spark.createDataFrame(rows, S.HISTORY), path)
+
+    batch(0, range(30))
+    batch(7, range(4), "Fake")
+    batch(7, range(4))  # Written again: replaced.
+    batch(9, range(3))
+    got = T.read_recent(spark, path).collect()
+    want = [(9, 2), (9, 1), (9, 0), (7, 3), (7, 2), (7, 1), (7, 0), (0, 29), (0, 28), (0, 27)]
+    assert [(r.seq, r.claim_id) for r in got] == want and {r.label for r in got} == {"True"}
+    few = T.read_recent(spark, path, n=5)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(seq" in plan and "(seq#" in plan
+    assert len(T.read_recent(spark, path, n=1000).collect()) == 37
+
+
 def test_macro_scores(spark):
     pairs = [("True", "True"), ("True", "Fake"), ("Fake", "Fake"), ("Uncertain", "Fake")]
     df = spark.createDataFrame(pairs, "gold string, pred string")

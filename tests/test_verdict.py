@@ -17,6 +17,19 @@ OUTPUTS = [
     ('{"label":"A","label":"B"}', "B", 0.6),
     ('{"reasoning":["a","b"]}', "Uncertain", 0.6),
     (' \n{"label":"True"}\n ', "True", 0.6),
+    ('{"label":"A"}{"label":"B"}', "Uncertain", 0.5),
+    ('{"label":"A"} {"label":"B"}', "Uncertain", 0.5),
+    ('{"a":{"confidence": true},"confidence":"true"}', "Uncertain", 0.5),
+    ('{"label":"A","confidence":"true","b":{"confidence": true}}', "Uncertain", 0.5),
+    ('{"confidence":1e400}', "Uncertain", float("inf")),
+    ('{"confidence":-Infinity}', "Uncertain", float("-inf")),
+    ('{"confidence":"１"}', "Uncertain", 1.0),
+    ('{"confidence":" 1_0.5 "}', "Uncertain", 10.5),
+    ('{"label":"A","confidence":[0.5]}', "Uncertain", 0.5),
+    ('{"label":7,"confidence":false}', "7", 0.0),
+    ('\u00a0{"label":"A"}', "Uncertain", 0.5),
+    ('{"label":"' + "a" * 100_000 + '"}', "a" * 100_000, 0.6),
+    ("{" + '"a":[' * 100_000, "Uncertain", 0.5),
     ("This is not true.", "Fake", 0.8),
     ("It is FALSE", "Fake", 0.8),
     ("That is true", "True", 0.8),
@@ -38,6 +51,16 @@ def test_parse_output(spark):
     assert by_text['{"reasoning":["a","b"]}'].reasoning == ["a", "b"]
 
 
+def test_json_values_that_are_no_text(spark):
+    texts = ['{"confidence":NaN}', '{"reasoning":"abc"}', '{"reasoning":null}', '{"reasoning":[1,"b",null,{"c":[2]}]}']
+    texts += ['{"explanation":"\\ud800x","counterfactual":{"a":1}}', None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, raw_output string")
+    got = [r.verdict for r in V.with_parsed_output(df).orderBy("i").collect()]
+    assert got[0].confidence != got[0].confidence and got[0].label == "Uncertain"
+    assert [v.reasoning for v in got[1:4]] == [["abc"], None, ["1", "b", None, '{"c":[2]}']]
+    assert (got[4].explanation, got[4].counterfactual, got[5]) == ("?x", '{"a":1}', None)
+
+
 RULES = [
     ("Widely debunked.", "any", "Fake", 0.95),
     ("a falsehood", "any", "Fake", 0.95),
