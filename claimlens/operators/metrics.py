@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from claimlens.functions.verdict import evaluated_label
 
@@ -15,6 +15,22 @@ def corpus_stats(evidence: DataFrame, approximate: bool = False) -> DataFrame:
     )
 
 
+# Size of a sketch: 2**16 registers tell distinct values to about half a percent.
+LG_K = 16
+
+
+def sketch_batches(rows: DataFrame, batch: Column, *columns: str) -> DataFrame:
+    """(batch, n_rows, a sketch of the distinct values of each column): small rows to store."""
+    sketches = [F.hll_sketch_agg(F.coalesce(c, F.lit("")), F.lit(LG_K)).alias(c) for c in columns]
+    return rows.groupBy(batch.alias("batch")).agg(F.count(F.lit(1)).alias("n_rows"), *sketches)
+
+
+def merged_counts(sketches: DataFrame, *columns: str) -> DataFrame:
+    """Rows and distinct values over any batches, from their stored sketches; null counts as empty."""
+    counts = [F.hll_sketch_estimate(F.hll_union_agg(c)).alias(f"n_{c}") for c in columns]
+    return sketches.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), *counts)
+
+
 def predicted_labels(predictions: DataFrame) -> DataFrame:
     """Add `pred`, the label each prediction stands for."""
     return predictions.withColumn(

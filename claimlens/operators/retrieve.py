@@ -199,20 +199,22 @@ def rerank(scored: DataFrame, k: int) -> DataFrame:
 def with_text(ranked: DataFrame, corpus: Corpus) -> DataFrame:
     """Look source and text up after the cut, by the hit's own id.
 
-    Few hits are broadcast to the texts, which then stay where they are read.
+    Few hits are broadcast to the texts, which then stay where they are read. Each source is
+    joined by its id alone, so texts that are stored in buckets by id stay there in any case.
     """
     ranked = if_small(durable(ranked))
-    items = corpus.evidence.select(
-        F.lit(LOCAL).alias("source_rank"),
+    local = corpus.evidence.select(
         F.col("evidence_id").alias("item_id"),
         F.coalesce("source_url", F.lit(LOCAL_SOURCE)).alias("source"),
         "text",
     )
-    for rank, _, source in corpus.sources():
-        items = items.unionByName(
-            source.items.select(F.lit(rank).alias("source_rank"), "item_id", "source", "text")
-        )
-    return ranked.join(items, ["source_rank", "item_id"])
+    tables = [(LOCAL, local)]
+    tables += [(rank, s.items.select("item_id", "source", "text")) for rank, _, s in corpus.sources()]
+    found = [ranked.where(F.col("source_rank") == rank).join(items, "item_id") for rank, items in tables]
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def retrieve(claims: DataFrame, corpus: Corpus, k: int = DEFAULT_K) -> DataFrame:

@@ -380,6 +380,16 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents JOIN labels USING (doc_id)) WHERE text <> ''""",
     "corpus_stats": """SELECT count(*) AS n_rows, count(DISTINCT source) AS n_sources
         FROM documents""",
+    "source_sketch": f"""SELECT count(*) AS n_rows, count(DISTINCT source) AS exact_source,
+        count(DISTINCT text) AS exact_text, count(DISTINCT word) AS exact_word,
+        true AS near_source, true AS near_text, true AS near_word
+        FROM (SELECT source, text, unnest({words('text')}) AS word FROM documents)""",
+    "corpus_append": sql(
+        [EVIDENCE, counts("ev"), LEXICON, weights("ev")],
+        "SELECT id AS evidence_id, source AS source_url, bucket, weight FROM ev_w JOIN ev USING (id)",
+    ),
+    "optional_index": """SELECT item_id AS claim_id, least(6, (SELECT count(*) FROM documents)) AS n_hits,
+        0::BIGINT AS n_missing FROM benchmark""",
     "hashed_embedding": sql(
         [PLAIN_DOCS, counts("ev"), LEXICON, weights("ev")],
         "SELECT id AS doc_id, bucket, weight FROM ev_w",
@@ -400,6 +410,11 @@ ORACLE_SQL: dict[str, str] = {
         """SELECT claim_id, pos, item_id, source, text, score
         FROM local_hits JOIN ev ON ev.id = item_id""",
     ),
+    "knn_with_meta_bucketed": sql(
+        BASE,
+        """SELECT claim_id, pos, item_id, source, text, score
+        FROM local_hits JOIN ev ON ev.id = item_id""",
+    ),
     "wiki_candidates": article_candidates("wiki", 2),
     "wiki_candidates_probe": article_candidates("wiki", 2),
     "wiki_candidates_blocks": article_candidates("wiki", 2),
@@ -458,6 +473,21 @@ ORACLE_SQL: dict[str, str] = {
         """SELECT claim_id, text, label, confidence, explanation, counterfactual, reasoning,
         status, evidence FROM analysis""",
     ),
+    "analyze_turns": sql(
+        [
+            f"outputs AS (SELECT conv_id, turn, {RAW} AS raw_output FROM conversations WHERE role = 'assistant')",
+            *parsed("outputs", "conv_id, turn"),
+        ],
+        f"""SELECT conv_id * 1000 + turn AS claim_id, {strip('b.text')} AS text,
+        CASE WHEN {strip('b.text')} = '' THEN 'Uncertain' ELSE label END AS label,
+        CASE WHEN {strip('b.text')} = '' THEN 0.0 ELSE confidence END AS confidence,
+        CASE WHEN {strip('b.text')} = '' THEN 'Empty input.' ELSE explanation END AS explanation,
+        CASE WHEN {strip('b.text')} <> '' THEN counterfactual END AS counterfactual,
+        CASE WHEN {strip('b.text')} <> '' THEN reasoning END AS reasoning, '' AS evidence
+        FROM parsed p JOIN conversations b USING (conv_id) WHERE b.turn = p.turn - 1""".replace(
+            "conv_id * 1000 + turn", "conv_id * 1000 + p.turn"
+        ),
+    ),
     "report": sql(
         ANALYSIS,
         """SELECT claim_id, coalesce(label, 'Uncertain') AS label,
@@ -523,7 +553,7 @@ ORACLE_SQL: dict[str, str] = {
         evidence FROM analysis""",
     ),
     "stream_knn": KNN,
-    "stream_knn_append": KNN,
+    "stream_knn_append": f"SELECT * FROM ({KNN}) WHERE vec_id % 100 = 0",
     "stream_run_state": sql(
         GAPS,
         f"""SELECT run_id, batch_seq, n_rows, strftime(started_at, '{TIME}') AS started_at,

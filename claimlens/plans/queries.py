@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -21,6 +22,7 @@ from claimlens.plans import analyze as P
 from claimlens.plans.evaluate import evaluate
 from claimlens.session import durable, scratch_path
 from claimlens.sources import driver_tables as D
+from claimlens.sources import segments as Seg
 from claimlens.sources import tables as T
 from claimlens.streaming import claims as St
 from claimlens.streaming import nearest as N
@@ -97,6 +99,23 @@ def corpus_stats(spark, sf):
     return M.corpus_stats(D.evidence(spark, sf))
 
 
+def source_sketch(spark, sf):
+    """Distinct sources, texts and words from sketches stored by batch, beside the exact numbers."""
+    path = scratch_path(spark, "sketches")
+    words = D.table(spark, sf, "documents").select(
+        "doc_id", "source", "text", F.explode(X.tokens(F.col("text"))).alias("word")
+    )
+    for batch in range(3):
+        some = words.where(F.col("doc_id") % 3 == batch)
+        rows = M.sketch_batches(some, F.col("doc_id") % 3, "source", "text", "word")
+        rows.write.mode("append").parquet(path)
+    told = M.merged_counts(spark.read.parquet(path), "source", "text", "word")
+    kinds = ("source", "text", "word")
+    exact = words.agg(*[F.count_distinct(c).alias(f"exact_{c}") for c in kinds])
+    near = [(F.abs(F.col(f"n_{c}") / F.col(f"exact_{c}") - 1) <= 0.02).alias(f"near_{c}") for c in kinds]
+    return told.join(F.broadcast(exact)).select("n_rows", *[f"exact_{c}" for c in kinds], *near)
+
+
 def hashed_embedding(spark, sf):
     docs = D.wide(D.table(spark, sf, "documents"))
     words = E.lexicon(docs, "doc_id", "text")
@@ -162,6 +181,52 @@ def knn_with_meta(spark, sf):
     return R.with_text(hits, corpus).select("claim_id", "pos", "item_id", "source", "text", "score")
 
 
+def knn_with_meta_bucketed(spark, sf):
+    """The texts in buckets by id: hits move to them, they stay, with broadcasting off as well."""
+    evidence = D.evidence(spark, sf)
+    corpus = R.build_corpus(evidence)
+    name = f"evidence_{uuid.uuid4().hex}"
+    T.write_by_id(evidence, name, scratch_path(spark, "evidence"), buckets=8)
+    claims = D.claims(spark, sf)
+    hits = R.local_hits(R.claim_vectors(claims, corpus), corpus, P.PIPELINE_K)
+    items = spark.table(name).select(
+        F.col("evidence_id").alias("item_id"), "text", F.col("source_url").alias("source")
+    )
+    joined = hits.join(items.hint("merge"), "item_id")
+    return joined.select("claim_id", "pos", "item_id", "source", "text", "score")
+
+
+def corpus_append(spark, sf):
+    """Evidence indexed in four appends, some put together in between: the weights of all its words."""
+    path = scratch_path(spark, "segments")
+    evidence = D.evidence(spark, sf)
+    for part in range(4):
+        Seg.append(evidence.where(F.col("evidence_id") % 4 == part), path)
+        if part == 2:
+            Seg.compact(spark, path)
+    corpus = Seg.read(spark, path)
+    weights = E.bucket_weights(corpus.evidence, "evidence_id", "text", corpus.lex)
+    rows = weights.where("bucket >= 0").withColumnRenamed("id", "evidence_id")
+    sources = corpus.evidence.select("evidence_id", "source_url")
+    return rows.join(sources, "evidence_id").select("evidence_id", "source_url", "bucket", "weight")
+
+
+def optional_index(spark, sf):
+    """Hits per claim from an index that is there and from one that is not."""
+    path = scratch_path(spark, "index")
+    Seg.append(D.evidence(spark, sf), path)
+    claims = D.claims(spark, sf)
+
+    def hits(corpus, name):
+        found = R.local_hits(R.claim_vectors(claims, corpus), corpus, P.PIPELINE_K)
+        return found.groupBy("claim_id").agg(F.count(F.lit(1)).alias(name))
+
+    there, missing = Seg.read(spark, path), Seg.read(spark, scratch_path(spark, "none"))
+    rows = claims.select("claim_id").join(hits(there, "n_hits"), "claim_id", "left")
+    rows = rows.join(hits(missing, "n_missing"), "claim_id", "left")
+    return rows.fillna(0, ["n_hits", "n_missing"])
+
+
 def _article_candidates(spark, sf, articles, depth, rank, **how):
     words = E.lexicon(articles, "item_id", "text")
     source = R.build_source(articles, words)
@@ -348,6 +413,16 @@ def analyze_no_generator(spark, sf):
     return _flat(P.analyze(_claims_with_blanks(spark, sf), None, None))
 
 
+def analyze_turns(spark, sf):
+    """Every assistant turn as the output for the turn before it."""
+    turns = D.table(spark, sf, "conversations")
+    key = (F.col("conv_id") * 1000 + F.col("turn")).alias("claim_id")
+    claims = turns.select((key + 1).alias("claim_id"), "text")
+    answers = turns.where("role = 'assistant'").select(key, D.raw_output().alias("raw_output"))
+    asked = claims.join(answers.select("claim_id"), "claim_id", "left_semi")
+    return _flat(P.analyze(asked, None, G.precomputed(answers))).drop("status")
+
+
 def report(spark, sf):
     return P.report(_analysis(spark, sf))
 
@@ -490,10 +565,14 @@ def stream_knn(spark, sf):
 
 
 def stream_knn_append(spark, sf):
-    """The same hits without state and without a function per batch."""
+    """Hits of arriving vectors without state and without a function per batch.
+
+    The vectors that arrive are those whose id is divisible by 100, searched among all.
+    """
     land, out, state = (scratch_path(spark, n) for n in ("land", "out", "state"))
     vecs = D.table(spark, sf, "embeddings")
-    vecs.select("vec_id", "embedding").repartition(2, "vec_id").write.parquet(land)
+    asked = vecs.where(F.col("vec_id") % 100 == 0)
+    asked.select("vec_id", "embedding").repartition(2, "vec_id").write.parquet(land)
     stream = St.read_claim_stream(spark, land, 1, "vec_id long, embedding array<float>")
     St.append_to(N.nearest(stream, N.corpus_row(vecs, "vec_id"), 6, "vec_id"), out, state).awaitTermination()
     return spark.read.parquet(out)
@@ -596,11 +675,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         claims_csv_roundtrip,
         claims_load,
         corpus_stats,
+        source_sketch,
         hashed_embedding,
         l2_normalize,
         cosine_rescore,
         knn_topk,
         knn_with_meta,
+        knn_with_meta_bucketed,
+        corpus_append,
+        optional_index,
         wiki_candidates,
         news_candidates,
         knn_topk_cells,
@@ -619,6 +702,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         analyze,
         analyze_exits,
         analyze_no_generator,
+        analyze_turns,
         report,
         history_rows,
         eval_label,

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,7 +60,40 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "claimlens", f"{name}-{uuid.uuid4().hex}")
 
 
+# The checkpoints made in each open `freed` block of a thread.
+_open = threading.local()
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint: the rows survive executor loss."""
+    """Cut lineage with a reliable checkpoint: the rows survive executor loss.
+
+    The files stay until the surrounding `freed` block ends; outside of one, until Spark
+    collects them (`spark.cleaner.referenceTracking.cleanCheckpoints`) or the folder goes.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    stored = df.checkpoint(eager=True)
+    for made in getattr(_open, "blocks", []):
+        file = stored._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            made.append(file.get())
+    return stored
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder wherever Spark can write one."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def freed(spark: SparkSession):
+    """Delete the checkpoints made inside, at the end: for work whose result is written by then."""
+    made: list[str] = []
+    blocks = _open.blocks = getattr(_open, "blocks", [])
+    blocks.append(made)
+    try:
+        yield
+    finally:
+        blocks.remove(made)
+        for path in made:
+            drop_path(spark, path)

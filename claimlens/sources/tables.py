@@ -148,6 +148,22 @@ def write_vectors(
     joined.select("evidence_id", "text", "source_url", "embedding").write.mode(mode).parquet(path)
 
 
+def write_by_id(evidence: DataFrame, name: str, path: str, buckets: int = 64) -> None:
+    """Store evidence as the table `name`, in files by a hash of its id, sorted by id.
+
+    Hits that are joined to it by id move; the texts do not, however many hits there are.
+    """
+    (
+        evidence.select("evidence_id", "text", "source_url")
+        .repartition(buckets, "evidence_id")
+        .write.mode("overwrite")
+        .bucketBy(buckets, "evidence_id")
+        .sortBy("evidence_id")
+        .option("path", path)
+        .saveAsTable(name)
+    )
+
+
 def write_corpus(corpus: R.Corpus, path: str) -> None:
     """Persist a whole index: evidence with vectors, words, and the keyword sources."""
     write_vectors(corpus.evidence, corpus.vectors, f"{path}/evidence")
