@@ -20,13 +20,17 @@ LG_K = 16
 
 
 def sketch_batches(rows: DataFrame, batch: Column, *columns: str) -> DataFrame:
-    """(batch, n_rows, a sketch of the distinct values of each column): small rows to store."""
-    sketches = [F.hll_sketch_agg(F.coalesce(c, F.lit("")), F.lit(LG_K)).alias(c) for c in columns]
+    """(batch, n_rows, a sketch of the distinct values of each column): small rows to store.
+
+    Nulls are not counted. The function leaves empty strings out, so a mark goes in front.
+    """
+    marked = {c: F.concat(F.lit("="), F.col(c).cast("string")) for c in columns}
+    sketches = [F.hll_sketch_agg(v, F.lit(LG_K)).alias(c) for c, v in marked.items()]
     return rows.groupBy(batch.alias("batch")).agg(F.count(F.lit(1)).alias("n_rows"), *sketches)
 
 
 def merged_counts(sketches: DataFrame, *columns: str) -> DataFrame:
-    """Rows and distinct values over any batches, from their stored sketches; null counts as empty."""
+    """Rows and distinct values over any batches, from their stored sketches."""
     counts = [F.hll_sketch_estimate(F.hll_union_agg(c)).alias(f"n_{c}") for c in columns]
     return sketches.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), *counts)
 
