@@ -27,6 +27,8 @@ IDF_UNITS = 1e6
 # in joins, and with their prices in the encoder's tasks, about 1 MB either way.
 HOT_TOKENS = 10_000
 PRICED_TOKENS = 20_000
+# Words up to which all prices are broadcast to the words that leave their row, about 60 MB.
+BROADCAST_WORDS = 1_000_000
 # Texts whose bucket sums are held as one dense array.
 STEP_TEXTS = 4_096
 
@@ -146,11 +148,13 @@ def bucket_weights(
 ) -> DataFrame:
     """(id, bucket, weight): summed tf * idf per hash bucket, and (id, -1, 0) for every text.
 
-    Texts are tokenised once. The most frequent tokens of the texts being encoded are priced
-    in the row, from a broadcast of at most `hot` prices, and summed into buckets there. The
-    others leave the row to be joined by token; none of those can dominate, since `hot`
-    others occur more often. `own` gives the (token, df) of the encoded texts when they are
-    not the corpus of `lex`.
+    The most frequent tokens of the texts being encoded are priced in the row, from a
+    broadcast of at most `hot` prices, and summed into buckets there. The others leave the row
+    and meet their prices by token; none of those can dominate, since `hot` others occur more
+    often. With up to `BROADCAST_WORDS` words in the corpus that is by broadcast, and texts are
+    tokenised once; with more, the words that left are shuffled, and texts are tokenised a
+    second time rather than moved. `own` gives the (token, df) of the encoded texts when they
+    are not the corpus of `lex`.
     """
     priced = lex.df.select(
         "token",
@@ -173,11 +177,14 @@ def bucket_weights(
     schema.add("e", T.ArrayType(pair)).add("tf", T.IntegerType())
     summed = rows.mapInArrow(_sum_in_rows(prices.toArrow(), dim), schema)
     one = F.array(F.struct(bucket.alias("bucket"), (F.col("tf") * idf).alias("weight")))
+    if lex.df.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        rows = summed.join(F.broadcast(priced), "token", "left").select("id", F.coalesce("e", one).alias("e"))
+    else:
+        rare = summed.where(F.col("e").isNull()).join(priced, "token", "left")
+        rows = summed.where(F.col("e").isNotNull()).select("id", "e").unionByName(rare.select("id", one.alias("e")))
     # One exchange on id serves this sum and the per-row array built from it.
     return (
-        summed.join(priced, "token", "left")
-        .select("id", F.coalesce("e", one).alias("e"))
-        .repartition("id")
+        rows.repartition("id")
         .select("id", F.inline("e"))
         .groupBy("id", "bucket")
         .agg(F.sum("weight").alias("weight"))

@@ -12,6 +12,7 @@ from claimlens.functions.vectors import cosine, with_unit_vector
 from claimlens.operators.encode import Encoder, Lexicon, encode, hashed_encoder, lexicon
 from claimlens.operators.knn import knn_join
 from claimlens.operators.lexical import TermIndex, lexical_join, term_index
+from claimlens.operators.postings import StoredIndex, index_join
 from claimlens.session import durable
 
 # Depth of the final cut and of each article source.
@@ -23,6 +24,9 @@ LOCAL_SOURCE = "local"
 # Rows (of ids and scores only) up to which hits are broadcast to the tables they point into.
 BROADCAST_ROWS = 200_000
 
+# Articles from which a stored inverted index is used instead of a pass over all articles.
+INDEX_ARTICLES = 100_000
+
 # Gives the encoder of a table from the names of its id and text columns.
 EncoderOf = Callable[[str, str], Encoder]
 
@@ -31,13 +35,15 @@ EncoderOf = Callable[[str, str], Encoder]
 class Source:
     """A landed article table (item_id, source, text), its words and the vectors of its texts.
 
-    With an encoder the vectors are not stored, and those of hits alone can be made.
+    With an encoder the vectors are not stored, and those of hits alone can be made. A table
+    that was written has its posting lists as well.
     """
 
     items: DataFrame
     index: TermIndex
     vectors: DataFrame
     encoder: Encoder | None = None
+    stored: StoredIndex | None = None
 
 
 @dataclass(frozen=True)
@@ -131,8 +137,14 @@ def local_hits(vectors: DataFrame, corpus: Corpus, k: int, **how) -> DataFrame:
 
 
 def article_hits(claims: DataFrame, source: Source, k: int, source_rank: int, **how) -> DataFrame:
-    """(claim_id, source_rank, pos, item_id, relevance) from a keyword source."""
-    hits = lexical_join(claims, source.index, k, "claim_id", "text", **how)
+    """(claim_id, source_rank, pos, item_id, relevance) from a keyword source.
+
+    Large sources that have stored posting lists are asked by these, which gives the same hits.
+    """
+    if source.stored is not None and source.stored.n_docs >= INDEX_ARTICLES and not how:
+        hits = index_join(claims, source.stored, k, "claim_id", "text")
+    else:
+        hits = lexical_join(claims, source.index, k, "claim_id", "text", **how)
     return hits.select(
         "claim_id",
         F.lit(source_rank).alias("source_rank"),

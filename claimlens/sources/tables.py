@@ -11,6 +11,7 @@ from claimlens.operators import retrieve as R
 from claimlens.operators.encode import Lexicon
 from claimlens.operators.ledger import recent_history
 from claimlens.operators.lexical import TermIndex
+from claimlens.operators.postings import read_index, write_index
 from claimlens.sources.records import read_records
 
 # Three rows to try the reader and the corpus with.
@@ -165,7 +166,8 @@ def write_by_id(evidence: DataFrame, name: str, path: str, buckets: int = 64) ->
 
 
 def write_corpus(corpus: R.Corpus, path: str) -> None:
-    """Persist a whole index: evidence with vectors, words, and the keyword sources."""
+    """Persist a whole index: evidence with vectors, words, and the keyword sources, large ones
+    with their posting lists."""
     write_vectors(corpus.evidence, corpus.vectors, f"{path}/evidence")
     if corpus.lex is not None:
         corpus.lex.df.write.mode("overwrite").parquet(f"{path}/words")
@@ -175,6 +177,9 @@ def write_corpus(corpus: R.Corpus, path: str) -> None:
         ).join(source.index.terms.withColumnRenamed("id", "item_id"), "item_id", "left")
         table.write.mode("overwrite").parquet(f"{path}/source-{rank}")
         source.index.lex.df.write.mode("overwrite").parquet(f"{path}/source-{rank}-words")
+        if source.index.lex.n_docs >= R.INDEX_ARTICLES:
+            stored = table.sparkSession.read.parquet(f"{path}/source-{rank}")
+            write_index(stored.select(F.col("item_id").alias("id"), "terms"), f"{path}/source-{rank}-index")
 
 
 def read_corpus(
@@ -197,10 +202,12 @@ def read_corpus(
                 raise
             return None
         terms = table.select(F.col("item_id").alias("id"), "terms")
+        words = lexicon(f"source-{rank}-words", table)
         return R.Source(
             table.select("item_id", "source", "text"),
-            TermIndex(terms, lexicon(f"source-{rank}-words", table)),
+            TermIndex(terms, words),
             table.select("item_id", "embedding"),
+            stored=read_index(spark, f"{path}/source-{rank}-index") if words.n_docs >= R.INDEX_ARTICLES else None,
         )
 
     evidence = read_vectors(spark, f"{path}/evidence")

@@ -74,6 +74,14 @@ def test_hot_split_does_not_change_the_weights(spark):
     assert bags[0] == bags[1] == bags[2]
 
 
+def test_many_words_are_shuffled_and_weigh_the_same(spark, monkeypatch):
+    docs = frame(spark, TEXTS)
+    lex = E.lexicon(docs, "id", "text")
+    want = sorted(map(tuple, E.bucket_weights(docs, "id", "text", lex, hot=2).collect()))
+    monkeypatch.setattr(E, "BROADCAST_WORDS", 3)
+    assert sorted(map(tuple, E.bucket_weights(docs, "id", "text", lex, hot=2).collect())) == want
+
+
 def test_model_encoder_isolates_bad_rows(spark):
     def load():
         def call(texts):

@@ -5,9 +5,12 @@ import shutil
 
 import pytest
 
+from claimlens import schemas as S
 from claimlens.operators import postings as I
+from claimlens.operators import retrieve as R
 from claimlens.operators.encode import distinct_tokens
 from claimlens.operators.lexical import lexical_join, term_index
+from claimlens.sources import tables as T
 
 
 def tables(spark, n_articles, n_claims, seed=3):
@@ -68,6 +71,20 @@ def test_lists_are_cut_into_blocks(spark, tmp_path):
     assert max(len(r.ids) for r in rows) < 700
 
 
+def test_a_stored_corpus_is_asked_by_its_lists(spark, tmp_path, monkeypatch):
+    """From a number of articles on, claims meet the lists; hits are those of the scan."""
+    articles, claims = tables(spark, 120, 15)
+    items = articles.selectExpr("item_id", "'s' as source", "text", "text as body")
+    corpus = R.build_corpus(spark.createDataFrame([(1, "w1", "u")], S.EVIDENCE), items)
+    want = sorted(map(tuple, R.article_hits(claims, corpus.articles, 2, 1).collect()))
+    monkeypatch.setattr(R, "INDEX_ARTICLES", 100)
+    T.write_corpus(corpus, str(tmp_path / "c"))
+    stored = T.read_corpus(spark, str(tmp_path / "c"))
+    monkeypatch.setattr(R, "lexical_join", None)
+    assert sorted(map(tuple, R.article_hits(claims, stored.articles, 2, 1).collect())) == want
+    assert len(want) > 15
+
+
 def test_empty_tables(spark, tmp_path):
     articles, claims = tables(spark, 0, 5)
     I.write_index(distinct_tokens(articles.limit(0), "item_id", "text"), str(tmp_path / "i"))
