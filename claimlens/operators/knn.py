@@ -5,7 +5,9 @@ top-k over its share of the items; the items are not shuffled at all.
 
 Many queries: a Voronoi-partitioned kNN join (Lu et al., "Efficient Processing of k
 Nearest Neighbor Joins using MapReduce", VLDB 2012). Items go to the cell of their
-nearest pivot. A query first searches the cells next to it, which bounds its k-th
+nearest pivot. A cell that holds too many is parted once more, by pivots of its own, so
+that cells stay small as items grow; an item is then compared with the first pivots and
+those of its cell only. A query first searches the cells next to it, which bounds its k-th
 score, and then only those cells that the triangle inequality cannot rule out. Full
 cells are split into blocks of limited size on both sides, so a cell that holds a
 third of all rows becomes many tasks.
@@ -33,6 +35,9 @@ from claimlens.session import durable
 # Queries are broadcast up to this many rows and bytes.
 BROADCAST_ROWS, BROADCAST_BYTES = 8_192, 64 << 20
 MAX_PIVOTS = 1024
+# A cell of more items gets pivots of its own, about one for each so many items. All pivots
+# together are broadcast: beyond `MAX_LEAVES` of them cells grow again.
+CELL_ROWS, MAX_LEAVES = 16_384, 32_768
 BLOCK_ROWS = 16_384
 # Room for rounded scores and float storage when a cell is ruled out.
 SLACK = 1e-5
@@ -76,6 +81,7 @@ def knn_join(
     broadcast_rows: int = BROADCAST_ROWS,
     max_pivots: int = MAX_PIVOTS,
     block_rows: int = BLOCK_ROWS,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """(query_id, item_id, score, rank): the k best items per query, ties by item id.
 
@@ -97,7 +103,7 @@ def knn_join(
     if small is not None:
         hits = _scan(i, small, k)
     else:
-        hits = _cells(q, i, k, max_pivots, block_rows)
+        hits = _cells(q, i, k, max_pivots, block_rows, cell_rows)
     return best_per_query(hits, k).select(
         F.col("query_id").alias(query_id), "item_id", "score", "rank"
     )
@@ -121,7 +127,64 @@ def _scan(items: DataFrame, queries: pa.Table, k: int) -> DataFrame:
     return items.mapInArrow(task, HITS_SCHEMA)
 
 
-def _cells(q: DataFrame, i: DataFrame, k: int, max_pivots: int, block_rows: int) -> DataFrame:
+def _cell_sizes(placed: DataFrame):
+    """Items, radius and largest squared length of each cell; one row per pivot."""
+    sizes = placed.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius"), F.max("norm2").alias("norm2")
+    )
+    return sizes.toArrow().to_pandas().sort_values("cell")
+
+
+def _parted(placed: DataFrame, stats, pivots: np.ndarray, cell_rows: int):
+    """(items with the cells they have after large ones are parted, all pivots).
+
+    The pivots of a large cell are its first one and a share of its items chosen by hash.
+    """
+    total = int(stats["n"].sum())
+    cell_rows = max(cell_rows, -(-total // MAX_LEAVES))
+    big = stats["cell"][stats["n"] > cell_rows].tolist()
+    if not big:
+        return placed, pivots
+    chosen = F.pmod(F.xxhash64("item_id", F.lit("pivot")), F.lit(cell_rows)) == 0
+    # About one row for each cell_rows items, at most MAX_LEAVES or so.
+    own = placed.where(F.col("cell").isin(big) & chosen).select("cell", "v").toArrow()
+    dim = pivots.shape[1]
+    cell = np.concatenate([np.arange(len(pivots)), own.column("cell").to_numpy()])
+    every_ = np.concatenate([pivots, _matrix(own.column("v"), dim)]) if own.num_rows else pivots
+    order = np.argsort(cell, kind="stable")
+    leaves, cell = every_[order], cell[order]
+    bounds = np.searchsorted(cell, np.arange(len(pivots) + 1))
+    shared = placed.sparkSession.sparkContext.broadcast((leaves, bounds))
+
+    def part(batches):
+        leaves, bounds = shared.value
+        for b in batches:
+            m = _matrix(b.column(1), dim)
+            cells = b.column(2).to_numpy(zero_copy_only=False)
+            dist = b.column(3).to_numpy(zero_copy_only=False).copy()
+            leaf = bounds[cells]
+            for c in np.unique(cells):
+                mine = leaves[bounds[c] : bounds[c + 1]]
+                if len(mine) > 1:
+                    rows = np.flatnonzero(cells == c)
+                    for some in steps(len(rows), len(mine)):
+                        at = rows[some]
+                        x = m[at]
+                        d2 = (x**2).sum(1)[:, None] + (mine**2).sum(1)[None, :] - 2 * x @ mine.T
+                        near = d2.argmin(axis=1)
+                        leaf[at] = bounds[c] + near
+                        dist[at] = np.sqrt(np.maximum(d2[np.arange(len(x)), near], 0))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(leaf.astype(np.int64)), pa.array(dist), b.column(4)],
+                names=b.schema.names,
+            )
+
+    return durable(placed.mapInArrow(part, placed.schema)), leaves
+
+
+def _cells(
+    q: DataFrame, i: DataFrame, k: int, max_pivots: int, block_rows: int, cell_rows: int
+) -> DataFrame:
     spark = q.sparkSession
     # Read several times below: fixed once, so that a costly encoder runs once.
     q, i = durable(q), durable(i)
@@ -161,18 +224,11 @@ def _cells(q: DataFrame, i: DataFrame, k: int, max_pivots: int, block_rows: int)
     placed = durable(
         i.mapInArrow(assign, "item_id long, v array<double>, cell long, dist double, norm2 double")
     )
-    # One row per pivot, so the driver sees at most max_pivots of them.
-    stats = (
-        placed.groupBy("cell")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max("dist").alias("radius"),
-            F.max("norm2").alias("norm2"),
-        )
-        .toArrow()
-        .to_pandas()
-        .sort_values("cell")
-    )
+    stats = _cell_sizes(placed)
+    placed, leaves = _parted(placed, stats, pivots, cell_rows)
+    if leaves is not pivots:
+        stats = _cell_sizes(placed)
+        shared = spark.sparkContext.broadcast(leaves)
     cells = spark.sparkContext.broadcast(
         (
             stats["cell"].to_numpy(),
@@ -246,8 +302,7 @@ def _probe(
 ) -> DataFrame:
     """Score routed queries against the items of their cells, block by block.
 
-    Both `sizes` and `load` have one row per cell, at most MAX_PIVOTS rows, which is
-    what makes broadcasting them safe.
+    Both `sizes` and `load` have one row per cell, which is what makes broadcasting them safe.
     """
     # The routes are read for the load and for the join.
     routes = durable(routes)

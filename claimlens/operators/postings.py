@@ -30,7 +30,8 @@ from claimlens.operators.lexical import weighted_terms
 from claimlens.operators.topk import best_per_query
 from claimlens.session import durable
 
-PARTS = 64
+# Folders at most; small indexes have one for each so many articles.
+PARTS, PART_ARTICLES = 256, 16_384
 # Articles of a block, on average.
 BLOCK_ARTICLES = 4_096
 # Words that give the first floor are added while their lists have this many articles in all.
@@ -60,10 +61,11 @@ def block_of(item: Column, n_blocks: int) -> Column:
 
 
 def write_index(
-    terms: DataFrame, path: str, n_parts: int = PARTS, block_articles: int = BLOCK_ARTICLES
+    terms: DataFrame, path: str, n_parts: int | None = None, block_articles: int = BLOCK_ARTICLES
 ) -> None:
     """Store the index of (id, terms), the distinct words of every article."""
     n_docs = terms.count()
+    n_parts = n_parts or min(PARTS, max(1, -(-n_docs // PART_ARTICLES)))
     n_blocks = max(1, -(-n_docs // block_articles))
     rows = each_term(terms).select(
         "token", block_of(F.col("id"), n_blocks).alias("block"), F.col("id").alias("item_id")

@@ -154,7 +154,8 @@ def knn_topk(spark, sf):
 def knn_topk_cells(spark, sf):
     """The plan for many queries, with small blocks."""
     vecs = D.table(spark, sf, "embeddings")
-    return knn_join(vecs, vecs, 6, "vec_id", "vec_id", strategy="cells", max_pivots=16, block_rows=64)
+    how = {"strategy": "cells", "max_pivots": 16, "block_rows": 64, "cell_rows": 32}
+    return knn_join(vecs, vecs, 6, "vec_id", "vec_id", **how)
 
 
 def knn_dirty_vectors(spark, sf):
@@ -260,11 +261,9 @@ def wiki_candidates_index(spark, sf):
     """From a stored inverted index: the articles are read once, when it is written."""
     path = scratch_path(spark, "index")
     articles = D.articles(spark, sf)
-    I.write_index(E.distinct_tokens(articles, "item_id", "body"), path, n_parts=16, block_articles=64)
+    I.write_index(E.distinct_tokens(articles, "item_id", "body"), path)
     articles.select("item_id", "source", "text").write.parquet(f"{path}/items")
-    hits = I.index_join(
-        D.claims(spark, sf), I.read_index(spark, path), R.ENCYCLOPAEDIA_K, "claim_id", "text", first_postings=50
-    )
+    hits = I.index_join(D.claims(spark, sf), I.read_index(spark, path), R.ENCYCLOPAEDIA_K, "claim_id", "text")
     found = hits.select("claim_id", F.col("rank").alias("pos"), "item_id", F.col("score").alias("relevance"))
     items = spark.read.parquet(f"{path}/items")
     return found.join(items, "item_id").select("claim_id", "pos", "item_id", "source", "text", "relevance")

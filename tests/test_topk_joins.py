@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from claimlens.operators import knn as K
 from claimlens.operators.encode import distinct_tokens
 from claimlens.operators.knn import knn_join
 from claimlens.operators.lexical import lexical_join, term_index
@@ -45,6 +46,7 @@ def ranked(df):
     [
         {"strategy": "broadcast"},
         {"strategy": "cells", "max_pivots": 12, "block_rows": 40},
+        {"strategy": "cells", "max_pivots": 4, "block_rows": 40, "cell_rows": 5},
         {"strategy": "auto", "broadcast_rows": 3, "max_pivots": 1, "block_rows": 1000},
     ],
 )
@@ -54,6 +56,44 @@ def test_knn_equals_brute_force_with_a_third_of_copies(spark, how):
     assert ranked(got) == brute(queries, items, 6)
 
 
+def scored_pairs(spark, monkeypatch, n, **how):
+    """Pairs that the cell plan compares for 40 queries among n items."""
+    seen, probe = [], K._probe
+
+    def counted(routes, placed, *rest):
+        cells = placed.groupBy("cell").count().withColumnRenamed("count", "n")
+        asked = routes.groupBy("cell").count().withColumnRenamed("count", "m")
+        seen.append(cells.join(asked, "cell").selectExpr("coalesce(sum(n * m), 0) as p").first().p)
+        return probe(routes, placed, *rest)
+
+    monkeypatch.setattr(K, "_probe", counted)
+    rng = np.random.default_rng(4)
+    items, queries = rng.uniform(-1, 1, (n, 3)), rng.uniform(-1, 1, (40, 3))
+    how = {"strategy": "cells", "max_pivots": 8, **how}
+    got = knn_join(frame(spark, queries), frame(spark, items), 3, "id", "id", **how)
+    assert ranked(got) == brute(queries.astype(np.float32), items.astype(np.float32), 3)
+    monkeypatch.undo()
+    return sum(seen)
+
+
+def test_cells_stay_small_as_items_grow(spark, monkeypatch):
+    small, large = (scored_pairs(spark, monkeypatch, n, cell_rows=64) for n in (1_000, 8_000))
+    # Eight times the items cost less than half of eight times the pairs.
+    assert large < 4 * small
+    assert scored_pairs(spark, monkeypatch, 8_000, cell_rows=10**9) > 2 * large
+
+
+def test_pivots_in_all_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(K, "MAX_LEAVES", 20)
+    bound = []
+    cells = K._cell_sizes
+    monkeypatch.setattr(K, "_cell_sizes", lambda p: bound.append(cells(p)) or bound[-1])
+    items = clustered(2_000, 4, 3)
+    got = knn_join(frame(spark, items[:20]), frame(spark, items), 2, "id", "id", strategy="cells", max_pivots=2, cell_rows=1)
+    assert ranked(got) == brute(items[:20], items, 2)
+    assert len(bound) == 2 and 2 < len(bound[1]) < 60
+
+
 def test_knn_cells_with_vectors_of_any_length(spark):
     rng = np.random.default_rng(5)
     items = (rng.normal(size=(200, 4)) * rng.uniform(0, 3, (200, 1))).astype(np.float32)
