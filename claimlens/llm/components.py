@@ -2,8 +2,8 @@
 
 Every round replaces links by links to smaller ids without losing a connection, until
 each node links to the smallest id of its component only. Minima are combined in the map
-tasks and the joins are plain inner joins that Spark splits where a node has very many
-links; no component is ever gathered in one place.
+tasks; the joins are inner joins by node, whose rows hold two numbers. A node of very many
+links has them in one task of such a join, which Spark does not split next to an aggregate.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ only match in the blocks that hold its anchors, and meets all of these.
 4. Spans of duplicate windows are united per text and cut out.
 
 Positions travel with a 64-bit content key of their row, so ids need not be unique. Joins
-on hashes are inner joins that Spark splits where an anchor is very frequent.
+on hashes stand next to the aggregates that count them, where Spark does not split a very
+frequent anchor: its rows, which hold hashes and positions only, go to one task.
 
 Defined results: a null or empty text has no words; repeated rows are copies of each
 other; an empty table gives an empty one; columns of the input are passed on unchanged
