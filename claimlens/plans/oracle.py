@@ -82,7 +82,8 @@ def encoded(t: str) -> list[str]:
 
 TITLE = "regexp_extract(html, '<title>([^<]*)', 1)"
 BODY = clean("regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>', ' ', 'g')")
-DESCRIPTION = "nullif(trim(regexp_extract(html, '<p>([^<]+)', 1)), '')"
+FIRST = clean("regexp_replace(regexp_extract(html, '(?s)<p>(.*?)</p>', 1), '<[^>]*>', ' ', 'g')")
+DESCRIPTION = f"nullif({FIRST}, '')"
 LEAD = r"trim(regexp_extract(body, '(?s)^((?:.*?[.!?](?:\s+|$)){1,2})', 1))"
 
 WIKI = f"""wiki AS MATERIALIZED (SELECT id, 'https://en.wikipedia.org/wiki/' || replace(title, ' ', '_') AS source,

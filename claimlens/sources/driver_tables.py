@@ -98,7 +98,9 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.trim(F.regexp_extract("html", "<p>([^<]+)", 1))
+    # All of the first paragraph, without the tags inside it.
+    inner = F.regexp_extract("html", "(?s)<p>(.*?)</p>", 1)
+    first = clean_text(F.regexp_replace(inner, "<[^>]*>", " "))
     return A.news(
         wide(table(spark, sf_dir, "pages")).select(
             F.col("page_id").alias("article_id"),
