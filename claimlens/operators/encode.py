@@ -24,9 +24,9 @@ Encoder = Callable[[DataFrame], DataFrame]
 DIM = 256
 IDF_UNITS = 1e6
 # Tokens met by broadcast because they are the most frequent ones, whatever the corpus size:
-# in joins, and with their prices in the encoder's tasks, about 1 MB either way.
+# in joins, about 1 MB, and with their prices in the encoder's tasks, about 6 MB.
 HOT_TOKENS = 10_000
-PRICED_TOKENS = 20_000
+PRICED_TOKENS = 200_000
 # Words up to which all prices are broadcast to the words that leave their row, about 60 MB.
 BROADCAST_WORDS = 1_000_000
 # Texts whose bucket sums are held as one dense array.
@@ -77,6 +77,22 @@ def bucket_of(token: Column, dim: int = DIM) -> Column:
     return F.pmod(head, F.lit(dim)).cast("int")
 
 
+def _most_frequent(words: DataFrame, n: int) -> DataFrame:
+    """The words of the highest frequencies, whole frequencies only, as long as they are at most n.
+
+    Only the numbers of words by frequency are sorted, of which n are enough; so are ties cut
+    off together, and no table of words is sorted.
+    """
+    sizes = words.groupBy("df").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("df")).limit(n + 1)
+    total, least = 0, None
+    for row in sizes.collect():
+        total += row["n"]
+        if total > n:
+            break
+        least = row["df"]
+    return words.where(F.lit(False) if least is None else F.col("df") >= least)
+
+
 def _sum_in_rows(prices: pa.Table, dim: int):
     """A task that sums the priced tokens of each text into buckets and hands on the others.
 
@@ -164,7 +180,7 @@ def bucket_weights(
     # A token the corpus has not seen weighs as one with document frequency 0.
     bucket = F.coalesce("bucket", bucket_of(F.col("token"), dim))
     idf = F.coalesce("idf", idf_units(lex.n_docs, F.lit(0)))
-    top = (lex.df if own is None else own).orderBy(F.desc("df"), F.asc("token")).limit(hot)
+    top = _most_frequent(lex.df if own is None else own, hot)
     if own is None:
         price = idf_units(lex.n_docs, F.col("df")).alias("idf")
         prices = top.select("token", bucket_of(F.col("token"), dim).alias("bucket"), price)
