@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -93,6 +94,20 @@ def _most_frequent(words: DataFrame, n: int) -> DataFrame:
     return words.where(F.lit(False) if least is None else F.col("df") >= least)
 
 
+@lru_cache(maxsize=4)
+def _has_few_words(lex: Lexicon, most: int) -> bool:
+    """Looked up once per corpus, as claims, articles and evidence are encoded by the same one."""
+    return lex.df.limit(most + 1).count() <= most
+
+
+@lru_cache(maxsize=4)
+def _corpus_prices(lex: Lexicon, dim: int, hot: int) -> pa.Table:
+    """(token, bucket, idf) of the corpus' most frequent words, at most `hot`."""
+    price = idf_units(lex.n_docs, F.col("df")).alias("idf")
+    top = _most_frequent(lex.df, hot)
+    return top.select("token", bucket_of(F.col("token"), dim).alias("bucket"), price).toArrow()
+
+
 def _sum_in_rows(prices: pa.Table, dim: int):
     """A task that sums the priced tokens of each text into buckets and hands on the others.
 
@@ -164,13 +179,13 @@ def bucket_weights(
 ) -> DataFrame:
     """(id, bucket, weight): summed tf * idf per hash bucket, and (id, -1, 0) for every text.
 
-    The most frequent tokens of the texts being encoded are priced in the row, from a
-    broadcast of at most `hot` prices, and summed into buckets there. The others leave the row
-    and meet their prices by token; none of those can dominate, since `hot` others occur more
-    often. With up to `BROADCAST_WORDS` words in the corpus that is by broadcast, and texts are
+    The most frequent tokens are priced in the row, from a broadcast of at most `hot` prices,
+    and summed into buckets there. The others leave the row and meet their prices by token.
+    With up to `BROADCAST_WORDS` words in the corpus that is by broadcast, and texts are
     tokenised once; with more, the words that left are shuffled, and texts are tokenised a
-    second time rather than moved. `own` gives the (token, df) of the encoded texts when they
-    are not the corpus of `lex`.
+    second time rather than moved. None of these can dominate, since `hot` others occur more
+    often: `own` gives the (token, df) of the encoded texts when they are not the corpus of
+    `lex`, and is read in this case only.
     """
     priced = lex.df.select(
         "token",
@@ -180,20 +195,19 @@ def bucket_weights(
     # A token the corpus has not seen weighs as one with document frequency 0.
     bucket = F.coalesce("bucket", bucket_of(F.col("token"), dim))
     idf = F.coalesce("idf", idf_units(lex.n_docs, F.lit(0)))
-    top = _most_frequent(lex.df if own is None else own, hot)
-    if own is None:
-        price = idf_units(lex.n_docs, F.col("df")).alias("idf")
-        prices = top.select("token", bucket_of(F.col("token"), dim).alias("bucket"), price)
+    few = _has_few_words(lex, BROADCAST_WORDS)
+    if own is None or few:
+        prices = _corpus_prices(lex, dim, hot)
     else:
-        found = top.select("token").join(priced, "token", "left")
-        prices = found.select("token", bucket.alias("bucket"), idf.alias("idf"))
+        found = _most_frequent(own, hot).select("token").join(priced, "token", "left")
+        prices = found.select("token", bucket.alias("bucket"), idf.alias("idf")).toArrow()
     rows = docs.select(F.col(id_col).alias("id"), X.tokens(F.col(text_col)).alias("tokens"))
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("token", T.StringType())])
     pair = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("weight", T.LongType())])
     schema.add("e", T.ArrayType(pair)).add("tf", T.IntegerType())
-    summed = rows.mapInArrow(_sum_in_rows(prices.toArrow(), dim), schema)
+    summed = rows.mapInArrow(_sum_in_rows(prices, dim), schema)
     one = F.array(F.struct(bucket.alias("bucket"), (F.col("tf") * idf).alias("weight")))
-    if lex.df.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+    if few:
         rows = summed.join(F.broadcast(priced), "token", "left").select("id", F.coalesce("e", one).alias("e"))
     else:
         rare = summed.where(F.col("e").isNull()).join(priced, "token", "left")

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from claimlens.operators.encode import Lexicon, distinct_tokens, each_term, idf_units
+from claimlens.operators.encode import Lexicon, distinct_tokens, each_term
 from claimlens.operators.lexical import weighted_terms
 from claimlens.operators.topk import best_per_query
 from claimlens.session import durable
