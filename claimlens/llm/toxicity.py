@@ -3,24 +3,29 @@
 The examples are a bounded sample of labelled rows (`SAMPLE_ROWS`). Near copies of an
 earlier example of the same label (exact similarity of shingles of `MIN_SIMILARITY` or more)
 are left out, so that copies neither fill the neighbours nor make their words look telling.
-Words count when the examples tie them to label 1 (`MIN_Z`, `MIN_SHARE`); their TF-IDF vectors are
-indexed as posting lists, cut into blocks of examples with the largest weight of each
-block. A query adds up these maxima to a bound for each block, visits blocks from the
+Every word of an example has a weight: its inverse frequency over all documents, times how
+surely the examples tie it to label 1 (`favour`), which no word loses altogether. The unit
+vectors are indexed as posting lists, cut into blocks of examples with the largest weight of
+each block. A query adds up these maxima to a bound for each block, visits blocks from the
 highest bound down and stops when no block left can beat its k-th neighbour, so the
 cosine search is exact. Votes weighted by squared similarity go through a logistic
 calibration fitted on the examples, each scored without itself.
 
-The index has a bounded size and is broadcast; each text is scored where it is read.
+The index grows with the words of the sample, not with the documents, and is broadcast; each
+text is scored where it is read. Document frequencies are summed up within the tasks, so one
+row per task and word of the sample is shuffled.
 
-Defined results: null and empty texts, and texts without a counted word, have no
+Defined results: null and empty texts, and texts without a word of any example, have no
 neighbours and get the rate of such examples; ties between neighbours go to the lower
-example id; repeated rows give repeated results; without labelled rows every score is
-1/2; other input columns are not passed on.
+example id; very long texts are scored whole; repeated rows give repeated results and count
+as often as they are stored; empty `documents` give an empty table; without labelled rows
+every score is 1/2; other input columns are not passed on.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +39,10 @@ SAMPLE_ROWS = 8_000
 NEIGHBOURS = 16
 EVIDENCE = 3
 BLOCK = 64
-# Counted words: by how many standard errors they are more frequent under label 1, which
-# share of the examples with the word has label 1, and how many examples of label 1, and
-# which share of these, have the word.
-MIN_Z, MIN_SHARE, MIN_EXAMPLES, MIN_SPREAD = 4.0, 0.5, 4, 0.02
+# Weight of a word that is not tied to label 1, against 1 of one that is by `FAVOUR_Z` standard errors.
+FAVOUR_BASE, FAVOUR_Z = 0.05, 6.0
+# Squared similarity that the share of label 1 among all examples has in every vote.
+DOUBT = 0.1
 MODULUS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 
@@ -50,10 +55,10 @@ def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Examples as unit vectors over counted words, by word and block."""
+    """Examples as unit vectors over their words, by word and block."""
 
     vocabulary: np.ndarray
-    idf: np.ndarray
+    worth: np.ndarray
     example_id: np.ndarray
     label: np.ndarray
     # Postings by word, then example; `pair_*` are the runs of one word in one block.
@@ -65,51 +70,61 @@ class Index:
     pair_max: np.ndarray
     pair_start: np.ndarray
     pair_size: np.ndarray
+    n_blocks: int
+    # Share of label 1 among the examples, which a vote without near neighbours tends to.
+    rate: float
     slope: float = 1.0
     offset: float = 0.0
     without: float = 0.5
 
     def nearest(self, word: np.ndarray, weight: np.ndarray, k: int, skip: int = -1):
         """(examples, cosines) of the k nearest examples that share a word, best first."""
-        n_runs = np.diff(self.pair_ptr)[word]
+        n_runs = self.pair_ptr[word + 1] - self.pair_ptr[word]
         runs = _runs(self.pair_ptr[word], n_runs)
-        of_word = np.repeat(np.arange(len(word)), n_runs)
-        block, inverse = np.unique(self.pair_block[runs], return_inverse=True)
-        bound = np.bincount(inverse, self.pair_max[runs] * weight[of_word], len(block))
-        by_bound = np.argsort(-bound, kind="stable")
-        rank = np.empty(len(block), dtype=np.int64)
-        rank[by_bound] = np.arange(len(block))
-        runs, of_word, place = (a[np.argsort(rank[inverse], kind="stable")] for a in (runs, of_word, rank[inverse]))
-        found, score, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 2
-        while done < len(block):
-            if len(score) >= k and bound[by_bound[done]] < score[k - 1] - 1e-12:
+        gain_of = np.repeat(weight, n_runs)
+        block = self.pair_block[runs]
+        bounds = np.bincount(block, self.pair_max[runs] * gain_of, self.n_blocks)
+        by_bound = np.argsort(-bounds, kind="stable")
+        bound = bounds[by_bound]
+        n = int(np.searchsorted(-bound, 0.0))
+        rank = np.empty(self.n_blocks, dtype=np.int32)
+        rank[by_bound] = np.arange(self.n_blocks)
+        order = np.argsort(rank[block], kind="stable")
+        runs, gain_of, place = runs[order], gain_of[order], rank[block[order]]
+        found, score, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
+        while done < n:
+            if len(score) >= k and bound[done] < score[k - 1] - 1e-12:
                 break
-            to = min(len(block), done + step)
+            to = min(n, done + step)
             lo, hi = np.searchsorted(place, [done, to])
             size = self.pair_size[runs[lo:hi]]
             at = _runs(self.pair_start[runs[lo:hi]], size)
-            gain = self.post_weight[at] * np.repeat(weight[of_word[lo:hi]], size)
-            example, where = np.unique(self.post_example[at], return_inverse=True)
-            total = np.bincount(where, gain, len(example))
+            # The examples of the blocks looked at, block after block.
+            slot = self.post_example[at] % BLOCK + np.repeat((place[lo:hi] - done) * BLOCK, size)
+            total = np.bincount(slot, self.post_weight[at] * np.repeat(gain_of[lo:hi], size), (to - done) * BLOCK)
+            hit = np.flatnonzero(total)
+            if len(hit) > k:
+                hit = hit[total[hit] >= np.partition(total[hit], -k - 1)[-k - 1]]
+            example = by_bound[done + hit // BLOCK] * BLOCK + hit % BLOCK
             keep = example != skip
-            found, score = np.concatenate([found, example[keep]]), np.concatenate([score, total[keep]])
-            best = np.lexsort((found, -score))[:k]
+            found, score = np.concatenate([found, example[keep]]), np.concatenate([score, total[hit[keep]]])
+            best = np.lexsort((self.example_id[found], -score))[:k]
             found, score = found[best], score[best]
             done, step = to, step * 2
         return found, np.minimum(score, 1.0)
 
     def vectors(self, w: A.Words):
-        """(text, word, weight) of the counted words of a batch; vectors have length 1."""
+        """(text, word, weight) of the indexed words of a batch; vectors have length 1."""
         at = np.searchsorted(self.vocabulary, w.hash)
         at[at == len(self.vocabulary)] = 0
         hit = np.flatnonzero(self.vocabulary[at] == w.hash) if len(self.vocabulary) else np.zeros(0, int)
         text, word, count = A.distinct(w.text_of()[hit], at[hit], max(1, len(self.vocabulary)))
-        weight = (1 + np.log(count)) * self.idf[word]
+        weight = (1 + np.log(count)) * self.worth[word]
         length = np.sqrt(np.bincount(text, weight**2, len(w.ptr) - 1))
         return text, word, weight / length[text]
 
     def vote(self, cosine: np.ndarray, label: np.ndarray) -> float:
-        return float((cosine**2 * label).sum() / (cosine**2).sum())
+        return float(((cosine**2 * label).sum() + DOUBT * self.rate) / ((cosine**2).sum() + DOUBT))
 
     def probability(self, vote: float) -> float:
         return float(1 / (1 + np.exp(-(self.slope * vote + self.offset))))
@@ -122,7 +137,7 @@ class Index:
         kept = {} if kept is None else kept
         for i in np.flatnonzero(np.diff(ptr)):
             part = slice(ptr[i], ptr[i + 1])
-            key = (word[part].tobytes(), weight[part].tobytes())
+            key = blake2b(word[part].tobytes() + weight[part].tobytes(), digest_size=16).digest()
             if key not in kept:
                 if len(kept) >= 20_000:
                     kept.clear()
@@ -147,23 +162,33 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
-def build(ids: np.ndarray, labels: np.ndarray, text: np.ndarray, word: np.ndarray, count: np.ndarray) -> Index:
-    """Index of the examples. (text, word hash, count) triples are in order of text."""
+def favour(df: np.ndarray, df_pos: np.ndarray, n: int, n_pos: float) -> np.ndarray:
+    """Between `FAVOUR_BASE` and 1, by the standard errors that a word is too frequent under label 1."""
+    rate = n_pos / max(n, 1)
+    z = (df_pos - rate * df) / np.sqrt(rate * (1 - rate) * df + 1)
+    return FAVOUR_BASE + (1 - FAVOUR_BASE) * np.clip(z / FAVOUR_Z, 0, 1) ** 2
+
+
+def build(
+    ids: np.ndarray,
+    labels: np.ndarray,
+    text: np.ndarray,
+    word: np.ndarray,
+    count: np.ndarray,
+    frequency: tuple[np.ndarray, int] | None = None,
+) -> Index:
+    """Index of the examples. (text, word hash, count) triples are in order of text.
+
+    frequency: in how many documents each different word is, in order of the hashes, and the
+    number of documents; of the examples themselves if None.
+    """
     n, positive = len(ids), labels.astype(float)
     vocabulary, code = np.unique(word, return_inverse=True)
     df = np.bincount(code, minlength=len(vocabulary)).astype(float)
     df_pos = np.bincount(code, positive[text], len(vocabulary))
-    n_pos = positive.sum()
-    rate, rest = df_pos / max(n_pos, 1), (df - df_pos) / max(n - n_pos, 1)
-    share = df / max(n, 1)
-    spread = np.sqrt(share * (1 - share) * (1 / max(n_pos, 1) + 1 / max(n - n_pos, 1))) + 1e-12
-    sure = ((rate - rest) / spread >= MIN_Z) & (df_pos >= MIN_SHARE * (df + 1))
-    telling = sure & (df_pos >= max(MIN_EXAMPLES, MIN_SPREAD * n_pos)) & (0 < n_pos < n)
-    new_code = np.cumsum(telling) - 1
-    use = telling[code]
-    text, code, count = text[use], new_code[code[use]], count[use]
-    vocabulary, idf = vocabulary[telling], np.log((n + 1) / (df[telling] + 1)) + 1
-    weight = (1 + np.log(count)) * idf[code]
+    in_docs, n_docs = (df, n) if frequency is None else frequency
+    worth = (np.log((n_docs + 1) / (in_docs + 1)) + 1) * favour(df, df_pos, n, positive.sum())
+    weight = (1 + np.log(count)) * worth[code]
     length = np.sqrt(np.bincount(text, weight**2, n))
     weight = weight / length[text]
     # Examples with the same main word stand together, which makes blocks' maxima tell more.
@@ -182,7 +207,7 @@ def build(ids: np.ndarray, labels: np.ndarray, text: np.ndarray, word: np.ndarra
     words_ = np.arange(len(vocabulary) + 1)
     index = Index(
         vocabulary,
-        idf,
+        worth,
         ids[order],
         labels[order],
         np.searchsorted(code, words_),
@@ -193,6 +218,8 @@ def build(ids: np.ndarray, labels: np.ndarray, text: np.ndarray, word: np.ndarra
         np.maximum.reduceat(weight, start) if len(start) else np.zeros(0),
         start,
         np.diff(np.append(start, len(code))),
+        -(-n // BLOCK),
+        float(positive.sum() / max(n, 1)),
     )
     by = np.lexsort((code, example))
     ptr = np.searchsorted(example[by], np.arange(n + 1))
@@ -261,8 +288,36 @@ def without_copies(region: np.ndarray, size: np.ndarray, label: np.ndarray) -> n
     return stay
 
 
-def train(sample: DataFrame) -> Index:
-    """Index of a bounded table (id, text, label); word counts are made by Spark."""
+def document_frequency(docs: DataFrame, vocabulary: np.ndarray, text_column: str = "text") -> tuple[np.ndarray, int]:
+    """In how many rows each word of a sorted vocabulary of hashes is, and the number of rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def task(batches):
+        known = shared.value
+        total, rows = np.zeros(len(known) + 1, dtype=np.int64), 0
+        for batch in batches:
+            for part in A.by_bytes(batch, "text"):
+                w = A.words(part.column("text"), plain=True)
+                rows += part.num_rows
+                at = np.searchsorted(known, w.hash)
+                hit = np.flatnonzero(np.append(known, 0)[at] == w.hash) if len(known) else np.zeros(0, int)
+                hit = hit[at[hit] < len(known)]
+                _, code, _ = A.distinct(w.text_of()[hit], at[hit], len(known) + 1)
+                total += np.bincount(code, minlength=len(total))
+        total[-1] = rows
+        code = np.flatnonzero(total)
+        # The last code stands for the rows themselves.
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], names=["code", "n"])
+
+    rows = docs.select(F.col(text_column).alias("text"))
+    summed = rows.mapInArrow(task, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(vocabulary) + 1, dtype=np.int64)
+    out[summed.column("code").to_numpy()] = summed.column("n").to_numpy()
+    return out[:-1], int(out[-1])
+
+
+def train(sample: DataFrame, docs: DataFrame | None = None, text_column: str = "text") -> Index:
+    """Index of a bounded table (id, text, label), with word frequencies over all rows of docs."""
     rows = sample.select(F.col("id").cast("long").alias("id"), "text", F.col("label").cast("int"))
     table = rows.mapInArrow(A.over_texts(_example), _SCHEMA).toArrow().sort_by("id").combine_chunks()
     ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
@@ -278,12 +333,13 @@ def train(sample: DataFrame) -> Index:
     word, count = flat("word", np.int64).view(np.uint64), flat("count", np.int64)
     use = fresh[text]
     place = np.cumsum(fresh) - 1
-    return build(ids[fresh], labels[fresh], place[text[use]], word[use], count[use])
+    frequency = document_frequency(docs, np.unique(word[use]), text_column) if docs is not None else None
+    return build(ids[fresh], labels[fresh], place[text[use]], word[use], count[use], frequency)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Index:
     """The index for `labels.toxic`, learnt outside the held-out fold."""
-    return train(labelled_sample(docs, labels, "toxic", MODULUS, HELD_OUT, rows))
+    return train(labelled_sample(docs, labels, "toxic", MODULUS, HELD_OUT, rows), docs)
 
 
 EVIDENCE_TYPE = T.ArrayType(
