@@ -22,6 +22,8 @@ def labelled_sample(
     The ids with the smallest hashes are taken, which is a uniform sample that does not
     depend on the order of rows. Ids with a null or two different labels are left out.
     The chosen ids are at most `rows`, so they are broadcast; texts are read in place.
+    An id that is stored several times gives one row, the text with the smallest hash,
+    chosen in the map tasks before anything is shuffled.
     """
     known = (
         labels.where(F.col(id_column).isNotNull() & (fold(id_column, modulus) != held_out))
@@ -31,4 +33,9 @@ def labelled_sample(
     )
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(rows).select("_id", "label")
     texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text"))
-    return texts.join(F.broadcast(chosen), "_id").select(F.col("_id").alias("id"), "text", "label")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"]
+    return (
+        texts.join(F.broadcast(chosen), "_id")
+        .groupBy(F.col("_id").alias("id"))
+        .agg(one.alias("text"), F.first("label").alias("label"))
+    )

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -6,6 +8,7 @@ import pyarrow as pa
 from brute import words
 
 from claimlens.llm import language as L, quality as Q, repetition as R, toxicity as X
+from claimlens.llm.labelled import labelled_sample
 from claimlens.llm.tables import fold, table
 
 SF = "/root/testdata/sf0.1"
@@ -78,7 +81,9 @@ def test_toxicity_on_held_out_labels(spark):
     docs, labels = table(spark, SF, "documents").select("doc_id", "text"), table(spark, SF, "labels")
     index = X.fitted(docs, labels)
     out = _held_out(spark, X.score(docs, index), "toxic", X.MODULUS, X.HELD_OUT)
-    assert ((out.score >= X.THRESHOLD) == (out.toxic == 1)).mean() > 0.95
+    assert ((out.score >= X.THRESHOLD) == (out.toxic == 1)).mean() > 0.98
+    assert (out.toxic == 1).sum() == 144 and ((out.score >= X.THRESHOLD) & (out.toxic == 1)).sum() >= 130
+    assert out.score.nunique() > 0.9 * len(out)
     odd = spark.createDataFrame([(1, None), (2, "")], "doc_id int, text string")
     assert {r.score for r in X.score(odd, index).collect()} == {index.without}
 
@@ -103,6 +108,79 @@ def test_nearest_examples_are_exact():
         assert np.allclose(cosine, (dense @ q)[want].clip(max=1.0))
 
 
+def _plain_words(text):
+    small = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    return Counter(re.findall("[0-9A-Za-z\x80-\U0010ffff]+", (text or "").translate(small)))
+
+
+def test_scores_against_a_dense_cosine(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(120)] + ["É", "Bad", "bad", "Awful", "vile"]
+
+    def text(toxic):
+        words_ = rng.choices(vocabulary[:121], k=rng.randint(0, 25)) + ["bad", "awful,", "VILE"][: rng.randint(1, 3)] * toxic
+        return " ".join(rng.sample(words_, len(words_)))
+
+    rows = [(i, text(i % 4 == 0), i % 4 == 0) for i in range(300)] + [(400, None, False), (401, "", True)]
+    docs = [(i, t) for i, t, _ in rows] + [(1000 + i, text(i % 3 == 0)) for i in range(200)]
+    table_ = spark.createDataFrame(docs, "doc_id long, text string")
+    index = X.train(spark.createDataFrame([(i, t, int(y)) for i, t, y in rows], "id long, text string, label int"), table_)
+    assert sorted(index.example_id.tolist()) == [i for i, _, _ in rows]
+
+    bags = {i: _plain_words(t) for i, t in docs}
+    df = Counter(w for b in bags.values() for w in b)
+    known = Counter(w for i, _, _ in rows for w in bags[i])
+    positive = Counter(w for i, _, y in rows if y for w in bags[i])
+    share = sum(y for _, _, y in rows) / len(rows)
+
+    def vector(bag):
+        out = {}
+        for w, c in bag.items():
+            if w in known:
+                z = (positive[w] - share * known[w]) / math.sqrt(share * (1 - share) * known[w] + 1)
+                favour = X.FAVOUR_BASE + (1 - X.FAVOUR_BASE) * min(max(z / X.FAVOUR_Z, 0), 1) ** 2
+                out[w] = (1 + math.log(c)) * (math.log((len(docs) + 1) / (df[w] + 1)) + 1) * favour
+        length = math.sqrt(sum(v * v for v in out.values()))
+        return {w: v / length for w, v in out.items()}
+
+    vectors = {i: vector(b) for i, b in bags.items()}
+
+    def vote(bag_id, leave_out):
+        near = []
+        for i, _, y in rows:
+            cosine = sum(v * vectors[i].get(w, 0.0) for w, v in vectors[bag_id].items())
+            if cosine > 0 and not (leave_out and i == bag_id):
+                near.append((-round(min(cosine, 1.0), 12), i, y))
+        near = sorted(near)[: X.NEIGHBOURS]
+        mass = sum(c * c for c, _, _ in near)
+        return (sum(c * c * y for c, _, y in near) + X.DOUBT * share) / (mass + X.DOUBT), bool(near)
+
+    votes = [(vote(i, True), y) for i, _, y in rows if vectors[i]]
+    slope, offset = X._logistic(np.array([v for (v, any_), _ in votes if any_]), np.array([float(y) for (_, any_), y in votes if any_]))
+    assert np.isclose([index.slope, index.offset], [slope, offset], rtol=1e-3).all()
+    got = {r.doc_id: r.score for r in X.score(table_, index).collect()}
+    for i, _ in docs:
+        value, any_ = vote(i, False)
+        want = 1 / (1 + math.exp(-(slope * value + offset))) if any_ else index.without
+        assert abs(got[i] - want) < 1e-3, i
+    clash = table_.selectExpr("doc_id", "text", "0.1 as score", "1 as evidence", "text as id")
+    assert {r.doc_id: r.score for r in X.score(clash, index).collect()} == got
+    long = spark.createDataFrame([(1, "w1 w2 " * 200_000), (1, "w1 w2 " * 200_000)], "doc_id long, text string")
+    assert len({r.score for r in X.score(long, index).collect()}) == 1
+    assert X.score(table_.limit(0), index).collect() == []
+
+
+def test_labelled_sample_is_bounded_by_rows(spark):
+    docs = spark.range(50_000).selectExpr("cast(1 as long) as doc_id", "concat('text ', id % 100) as text")
+    docs = docs.unionAll(spark.range(2, 30).selectExpr("id as doc_id", "if(id = 5, null, 'other') as text"))
+    labels = spark.range(1, 30).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    for rows in (10, 100):
+        got = labelled_sample(docs, labels, "toxic", 3, 1, rows).collect()
+        assert len(got) == len({r.id for r in got}) <= rows
+    again = labelled_sample(docs.repartition(7), labels, "toxic", 3, 1, rows).orderBy("id").collect()
+    assert again == sorted(got, key=lambda r: r.id)
+
+
 def test_language_evidence(spark):
     docs = table(spark, SF, "documents").limit(1500)
     got = L.identify(docs).toPandas()
