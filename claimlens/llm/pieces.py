@@ -9,7 +9,7 @@ stored. The ids are then read from the end backwards.
 
 A piece holds the space mark only in front and joins no letter to a mark behind it, so
 words are encoded alone; tables of frequent words are kept by each Python worker, in two
-generations of bounded size. Nothing is shuffled.
+generations of bounded number and length of words. Nothing is shuffled.
 
 Defined results: a null text is empty; an empty text has the end id only and decodes to
 an empty text; repeated rows give repeated results; other input columns are not passed on.
@@ -29,6 +29,8 @@ from claimlens.llm import arrays as A
 SPACE = "▁"
 # Words whose encoding a worker keeps: two generations of this many.
 CACHED_WORDS = 100_000
+# Longest word that is kept, in characters: a text with spaces in a row counts as one word.
+KEPT_LENGTH = 64
 # The kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 # No piece reaches over a line break, from another character to a space mark, or from a
@@ -162,9 +164,11 @@ class Pieces:
             if chunk:
                 ids = known(chunk)
                 if ids is None:
-                    ids = self._chunks.keep(chunk, tuple(self.table(chunk)))
+                    ids = tuple(self.table(chunk))
+                    if len(chunk) <= KEPT_LENGTH:
+                        self._chunks.keep(chunk, ids)
                 out += ids
-        return self._words.keep(text, tuple(out))
+        return self._words.keep(text, tuple(out)) if len(text) <= KEPT_LENGTH else tuple(out)
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text with the end id."""

@@ -30,6 +30,14 @@ def test_pieces_equal_the_library():
         assert ours.decode(ids) == library.decode(ids)
 
 
+def test_no_long_word_is_kept():
+    ours, library = S.Pieces(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for text in ("two  spaces " * 20_000, "long" * 30_000, "a " + "🦊" * 5_000, "short words only"):
+        assert ours.encode(text) == library.encode(text, add_eos=True)
+    kept = [k for table in (ours._words, ours._chunks) for part in (table.new, table.old) for k in part]
+    assert kept and max(map(len, kept)) <= S.KEPT_LENGTH
+
+
 def test_piece_tables(spark):
     rows = [(1, None), (2, ""), (3, "the  cat"), (3, "the  cat")]
     docs = spark.createDataFrame(rows, "doc_id int, text string").withColumn("ids", F.lit("clash"))
