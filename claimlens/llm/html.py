@@ -10,12 +10,14 @@ Pages without such markup are handled by the same scan, but their words have wei
 their own: labelled pages are counted a second time as if the markup were absent, and
 elements that hold the content of any page (`GENERIC`) weigh no less than by the prior. Elements inside the region that are
 not article text (menus, forms, adverts, comments, scripts) are left out, then
-blocks are joined.
+blocks are joined. An `<article>` that is itself marked as a comment or advert, or stands in
+comments, side bars and the like, is no content. End tags may be left out where HTML allows
+it; a tag with a quote too many ends at the next angle bracket.
 
 Pages are handled where they are read; nothing is shuffled but the sample's counts.
 
-Defined results: a null or empty page, or one without words, has an empty text; repeated
-rows give repeated results; an empty table gives an empty one; input columns other than
+Defined results: a null or empty page, or one without words, has an empty text; of regions
+with equal sums the first is taken; long pages are read whole, in linear time; repeated rows give repeated results; an empty table gives an empty one; input columns other than
 the named ones are not passed on.
 """
 
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from dataclasses import dataclass, replace
 from html import unescape
 
 import pyarrow as pa
@@ -34,6 +37,8 @@ SAMPLE_ROWS = 2_000
 # Largest weight of a word and least cost of a tag; unseen kinds weigh half as much.
 # A piece of text outside of the content costs at most as much as a sentence can make up for.
 WORD_WEIGHT, TAG_COST, TEXT_COST = 3.0, 0.5, 6.0
+# Cost of a tag in marked content, small enough that short headings and cells stay in the region.
+INSIDE, INSIDE_COST = "in:", 0.01
 # Words of elements that are left out of a marked article: the scan passes over them.
 LEFT_OUT = "w:left out"
 # What the kinds of words of a page without marked content start with.
@@ -55,21 +60,127 @@ BLOCKS = frozenset(
     "optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Words in class, id or role that mark what is not article text.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|"
-    r"alert|popup|modal|newsletter|subscribe|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|"
-    r"masthead|comments?|replies|respond|disqus|share|social|related|recommend\w*|widget|login|"
-    r"signup|search|toolbar|pagination|pager|contentinfo|complementary|navigation)(?:$|[\s_-])",
-    re.IGNORECASE,
+# Words that start or end a class, id or role of what is not article text, and
+# those that also hold for an `<article>` of its own and for one further inside.
+MARKS = frozenset(
+    "banner notice alert popup modal menu breadcrumb breadcrumbs footer header masthead share sharing social "
+    "login signup search toolbar pagination pager contentinfo complementary navigation navbar nav widget "
+    "cookie cookies consent gdpr".split()
 )
+STRONG_MARKS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion "
+    "newsletter subscribe sidebar comment comments reply replies respond disqus recommended recommendations".split()
+)
+# A class that starts so tells of a page's layout; one with these beside `header` heads an article.
+LAYOUT = frozenset("with has no without is not hide show js".split())
+HEADED = frozenset("article post entry story content page section chapter title".split())
+# What `related` and `side` are joined to where they mark something.
+RELATED = frozenset("posts articles links stories items content news topics products reading list videos".split())
+SIDE = frozenset("bar column col panel box rail nav menu".split())
+# Elements whose names of this kind describe the element itself, and those that hold a whole page.
+TEXT_PARTS = frozenset("td th tr thead tbody tfoot caption h1 h2 h3 h4 h5 h6 dt dd label code pre".split())
+PART_NAMES = frozenset("header footer search share banner notice alert".split())
+WHOLE = frozenset("html body main".split())
+
+_TAG = r"<(/?)([A-Za-z][^\s/><]*)"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[A-Za-z/][^<]*\Z",
+    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</(?![A-Za-z])[^>]*>?"
+    rf"|{_TAG}((?:[^<>\"']|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*+)>"
+    # A tag with a quote too many or without an end stops at the next angle bracket.
+    rf"|{_TAG}([^<>]*)(?:>|(?=<)|\Z)",
     re.DOTALL,
 )
-_NAMED = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.IGNORECASE)
+_NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
-_ENDS = {name: re.compile(rf"</{name}\s*/?>", re.IGNORECASE) for name in RAW}
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.IGNORECASE) for name in RAW}
+
+# Elements whose end tag may be left out, each with a bit; what ends them, and within what they are looked for.
+P, ITEM, TERM, CELL, ROW = 1, 2, 4, 8, 16
+_BIT = {"p": P, "li": ITEM, "dt": TERM, "dd": TERM, "td": CELL, "th": CELL, "tr": ROW}
+_ENDED_BY = {name: P for name in BLOCKS if name not in ("li", "td", "th", "tr")} | {
+    "li": P | ITEM, "dt": P | TERM, "dd": P | TERM, "td": P | CELL, "th": P | CELL, "tr": P | CELL | ROW,
+    "tbody": P | CELL | ROW, "thead": P | CELL | ROW, "tfoot": P | CELL | ROW,
+}
+_WITHIN = {name: ITEM | TERM for name in STRUCTURE if name not in ("div", "a", "p")} | {
+    "table": P | ITEM | TERM | CELL | ROW, "td": P | ITEM | TERM, "th": P | ITEM | TERM, "caption": P,
+    "button": P, "object": P,
+}
+_CROSSED_BY = CONTENT | frozenset("table tr tbody thead tfoot body html".split())
+
+
+def mark(name: str, attributes: str) -> int:
+    """0, or 1 if class, id or role of an element say that it is no article text, 2 if strongly so."""
+    if name in WHOLE:
+        return 0
+    found = 0
+    for value in _NAMED.findall(attributes):
+        for token in value.strip("\"'").lower().split():
+            parts = [p for p in re.split(r"[-_]+", token) if p]
+            if not parts or parts[0] in LAYOUT:
+                continue
+            ends = {parts[0], parts[-1]}
+            if ends & STRONG_MARKS or "related" in parts and (len(parts) == 1 or RELATED & set(parts)):
+                return 2
+            if parts[0] == "side" and (len(parts) == 1 or len(parts) == 2 and parts[1] in SIDE):
+                return 2
+            weak = ends & MARKS
+            if name in TEXT_PARTS:
+                weak -= PART_NAMES
+            if HEADED & set(parts):
+                weak.discard("header")
+            found = found or int(bool(weak))
+    return found
+
+
+@dataclass(slots=True)
+class _Open:
+    """An open element, with what holds for the text in it."""
+
+    name: str = ""
+    # Elements open in here that a start tag may end; place of the nearest table cell or the like.
+    may_end: int = 0
+    scope: int = 0
+    # No article text; so whatever content is marked inside; in which content, beside which element, in a link.
+    aside: bool = False
+    strong: bool = False
+    content: str = ""
+    near: str = "none"
+    link: str = ""
+    # The same if the content were not marked.
+    plain_near: str = "none"
+    plain_aside: bool = False
+
+    def inside(self, name: str, marked: int, place: int) -> _Open:
+        """An element that is opened within this one, as the place-th of the open ones."""
+        bounds = _WITHIN.get(name, 0)
+        may_end = self.may_end & ~bounds | _BIT.get(name, 0)
+        new = replace(self, name=name, may_end=may_end, scope=place if bounds & P else self.scope)
+        if name == "a":
+            new.link = "+a"
+        if name in CONTENT:
+            # Content inside of menus, comments and the like is none, but a page has one `main`.
+            new.strong = name != "main" and (self.strong or marked == 2)
+            new.aside, new.content = new.strong, name
+            new.plain_aside = self.plain_aside or new.strong
+            return new
+        # An article's own header holds its heading.
+        heading = name == "header" and self.content != "" and not marked
+        beside = bool(marked) or name in ASIDE and not heading
+        new.aside = self.aside or beside
+        new.strong = self.strong or marked == 2 or name in ("aside", "nav", "footer")
+        new.plain_aside = self.plain_aside or bool(marked) or name in ASIDE and name != "header"
+        if name in STRUCTURE and name != "a" or marked:
+            new.near = "marked" if marked else name
+            new.plain_near = self.plain_near if heading else name
+        return new
+
+    def kind(self) -> str:
+        if self.content:
+            return LEFT_OUT if self.aside else f"w:{self.content}"
+        return f"w:{self.near}{self.link}"
+
+    def plain_kind(self) -> str | None:
+        return None if self.aside or self.plain_aside else f"{UNMARKED}{self.plain_near}{self.link}"
 
 
 def tokens(page: str):
@@ -82,74 +193,58 @@ def tokens(page: str):
 
 
 def _walk(page: str):
-    """Tokens and, for text that is article text, its kind if the content were not marked."""
-    stack: list[tuple[str, bool]] = []
+    """Tokens and, for text that is article text, its kind if the content were not marked.
+
+    Every open element carries what holds inside of it, so the time is linear in the page.
+    """
+    stack = [_Open()]
+    # Places of the open elements of each name.
+    places: dict[str, list[int]] = {}
     at, end = 0, len(page)
 
-    def context() -> tuple[str, bool]:
-        aside, near, link = False, "none", ""
-        for name, marked in reversed(stack):
-            if name == "a":
-                link = link or "+a"
-                continue
-            if near == "none":
-                near = "marked" if marked else name
-            if name in CONTENT:
-                return (LEFT_OUT, True) if aside else (f"w:{name}", False)
-            # An article's own header holds its heading.
-            aside = aside or marked or name in ASIDE and not (
-                name == "header" and any(n in CONTENT for n, _ in stack)
-            )
-        return f"w:{near}{link}", aside
-
-    def unmarked() -> str | None:
-        near, link = "none", ""
-        for name, marked in reversed(stack):
-            if name == "a":
-                link = "+a"
-            elif name not in CONTENT and near == "none":
-                # The heading of an article's own header is content wherever it stands.
-                if name == "header" and any(n in CONTENT for n, _ in stack):
-                    continue
-                near = name
-            if name not in CONTENT and (marked or name in ASIDE and name != "header"):
-                return None
-        return f"{UNMARKED}{near}{link}"
+    def close(to: int) -> None:
+        while len(stack) > to:
+            places[stack.pop().name].pop()
 
     while at < end:
         found = _TOKEN.search(page, at)
         stop = found.start() if found else end
         if stop > at:
-            kind, aside = context()
-            yield kind, None, page[at:stop], aside, None if aside else unmarked()
+            here = stack[-1]
+            yield here.kind(), None, page[at:stop], here.aside, here.plain_kind()
         if not found:
             return
         at = found.end()
-        if not found[2]:
-            # A comment, a declaration or a tag that never ends.
+        name = (found[2] or found[5] or "").lower()
+        if not name:
+            # A comment or a declaration.
             continue
-        name = found[2].lower()
-        if found[1]:
-            yield f"/{name}", name, "", False, None
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+        attributes = found[3] or found[6] or ""
+        if found[1] or found[4]:
+            yield f"{INSIDE if stack[-1].content else ''}/{name}", name, "", False, None
+            open_ = places.get(name)
+            # An end tag in a table cell ends nothing around the table.
+            if open_ and (open_[-1] >= stack[-1].scope or name in _CROSSED_BY):
+                close(open_[-1])
             continue
-        named = found[3] and any(MARKS.search(m.strip("\"'")) for m in _NAMED.findall(found[3]))
-        yield (f"{name}!" if named else name), name, "", False, None
+        ends = _ENDED_BY.get(name, 0)
+        while stack[-1].may_end & ends:
+            close(len(stack) - 1)
+        marked = mark(name, attributes) if attributes else 0
+        kind = f"{name}!" if marked else name
+        yield (f"{INSIDE}{kind}" if stack[-1].content else kind), name, "", False, None
         if name in RAW:
-            close = _ENDS[name].search(page, at)
-            at = close.end() if close else end
-        elif name not in VOID and (named or name in STRUCTURE):
-            if not found[3].endswith("/"):
-                stack.append((name, bool(named)))
+            close_tag = _ENDS[name].search(page, at)
+            at = close_tag.end() if close_tag else end
+        elif name not in VOID and (marked or name in STRUCTURE or name in _BIT) and not attributes.endswith("/"):
+            places.setdefault(name, []).append(len(stack))
+            stack.append(stack[-1].inside(name, marked, len(stack)))
 
 
 def prior(kind: str) -> float:
     """Weight of a kind of token of which no labelled page has an example."""
     if not kind.startswith("w:"):
-        return -TAG_COST
+        return -INSIDE_COST if kind.startswith(INSIDE) else -TAG_COST
     if kind == LEFT_OUT:
         return 0.0
     near = kind[2:].removesuffix("+a")
@@ -178,39 +273,56 @@ def count_kinds(page: str) -> tuple[Counter, Counter]:
 
     Words count under their kind and under the one that they have in unmarked pages.
     """
-    inside, outside, depth = Counter(), Counter(), 0
+    inside, outside = Counter(), Counter()
     for kind, name, text, aside, unmarked in _walk(page):
-        if name in CONTENT:
-            depth = max(0, depth + (-1 if kind[0] == "/" else 1))
-        n = len(text.split()) if name is None else 1
+        if name is not None:
+            where = inside if kind.startswith(INSIDE) else outside
+            where[kind.removeprefix(INSIDE)] += 1
+            continue
+        n = len(text.split())
         if n and kind != LEFT_OUT:
-            where = inside if depth and not aside else outside
+            where = inside if kind[2:] in CONTENT else outside
             where[kind] += n
             if unmarked:
                 where[unmarked] += n
-            elif name is None and where is outside:
+            elif where is outside:
                 where[f"{UNMARKED}{kind[2:]}"] += n
     return inside, outside
 
 
+def scores(row: list[tuple], weights: dict[str, float]) -> list[float]:
+    """What each token of a page adds to the sum of a region."""
+    marked = any(kind.startswith(INSIDE) for kind, *_ in row)
+    out = []
+    for kind, name, text, _ in row:
+        key = kind if marked or name is not None else f"{UNMARKED}{kind[2:]}"
+        w = weights.get(key)
+        w = prior(kind) if w is None else w
+        out.append(w if name is not None else max(-TEXT_COST, w * len(text.split())))
+    return out
+
+
+def best_region(score: list[float]) -> tuple[int, int]:
+    """The first of the contiguous regions with the highest sum, empty if none is positive."""
+    most, best = 0.0, (0, 0)
+    total, first = 0.0, 0
+    for i, w in enumerate(score):
+        total += w
+        if total <= 0:
+            total, first = 0.0, i + 1
+        elif total > most:
+            most, best = total, (first, i + 1)
+    return best
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     """Text of the best region, blocks joined by line feeds."""
     if not page:
         return ""
     row = list(tokens(page))
-    marked = any(name in CONTENT for _, name, _, _ in row)
-    best = (0.0, 0, 0)
-    total, first = 0.0, 0
-    for i, (kind, name, text, _) in enumerate(row):
-        w = weights.get(kind if marked or name is not None else f"{UNMARKED}{kind[2:]}")
-        w = prior(kind) if w is None else w
-        total += w if name is not None else max(-TEXT_COST, w * len(text.split()))
-        if total <= 0:
-            total, first = 0.0, i + 1
-        elif total > best[0]:
-            best = (total, first, i + 1)
+    first, last = best_region(scores(row, weights))
     blocks: list[list[str]] = [[]]
-    for kind, name, text, aside in row[best[1] : best[2]]:
+    for kind, name, text, aside in row[first:last]:
         if name is None:
             if not aside:
                 blocks[-1].append(text)

@@ -1,3 +1,8 @@
+import math
+import random
+import time
+from html import unescape
+
 import pytest
 
 from claimlens.llm import html as H
@@ -32,12 +37,75 @@ def test_best_sum_is_found(spark):
     assert weights["w:article"] > 0 > weights["w:footer"]
     for r in pages.limit(20).collect():
         row = list(H.tokens(r.html))
-        score = [
-            weights.get(k, H.prior(k)) if n is not None else max(-H.TEXT_COST, weights.get(k, H.prior(k)) * len(t.split()))
-            for k, n, t, _ in row
-        ]
-        best = max((sum(score[i:j]), -i, j) for i in range(len(row)) for j in range(i, len(row) + 1))
-        assert H.main_text(r.html, weights) in H.main_text(r.html, {}) or best[0] > 0
+        score = H.scores(row, weights)
+        best = max(
+            (round(math.fsum(score[i:j]), 6), -i, -j) for i in range(len(row)) for j in range(i, min(len(row), i + 400) + 1)
+        )
+        first, last = H.best_region(score)
+        assert last - first <= 400 and round(math.fsum(score[first:last]), 6) == best[0] > 0
+        parts = "".join(
+            ("" if aside else text) if name is None else "\0" if name in H.BLOCKS else " " if name == "br" else ""
+            for _, name, text, aside in row[first:last]
+        )
+        lines = (" ".join(unescape(part).split()) for part in parts.split("\0"))
+        assert H.main_text(r.html, weights) == "\n".join(line for line in lines if line)
+
+
+def test_first_of_equal_regions():
+    assert H.best_region([1, -2, 1, 0, -1, 1]) == (0, 1) and H.best_region([-1, 0]) == H.best_region([]) == (0, 0)
+    rng = random.Random(4)
+    for _ in range(300):
+        score = [rng.randint(-3, 3) for _ in range(rng.randint(0, 12))]
+        n = len(score)
+        most = max([sum(score[i:j]) for i in range(n) for j in range(i, n + 1)] or [0])
+        first, last = H.best_region(score)
+        assert sum(score[first:last]) == most
+
+
+W, W2 = " ".join(f"word{i}" for i in range(25)), " ".join(f"more{i}" for i in range(25))
+ORDINARY = [
+    # Comments that are articles themselves, inside and beside the article.
+    (f"<main><article><h1>Head</h1><p>{W}</p><section class=comments><article class='comment'><p>nice {W2}</p>"
+     "</article></section></article></main>", f"Head\n{W}"),
+    (f"<article><h1>Head</h1><p>{W}</p></article><div id=comments><article><p>nice {W2}</p></article></div>", f"Head\n{W}"),
+    (f"<article><p>{W}</p><div class='comments'><article><p>nice {W2}</p></article></div></article>", W),
+    # End tags left out.
+    (f"<article><p class=notice>Site notice<p>{W}<p>{W2}</article>", f"{W}\n{W2}"),
+    (f"<ul class=menu><li class=nav>Home<li>b</ul><article><ul><li class=ad>buy<li>{W}</ul></article>", W),
+    (f"<article><table><tr><td class=ad>buy<td>{W}<tr><td>{W2}</table></article>", f"{W}\n{W2}"),
+    # Names that tell of a layout or of the article's own parts.
+    (f"<article><div class='article-header'><h1>Head</h1></div><div class='side-by-side'><p>{W}</p></div>"
+     f"<div class='related-work'><p>{W2}</p></div><table><tr><td class=header>Col<td class=x>1</table></article>",
+     f"Head\n{W}\n{W2}\nCol\n1"),
+    (f"<div id=wrap class='layout with-sidebar'><article><p>{W}</p></article><div class=sidebar>{W2}</div></div>", W),
+    (f"<form id=page><article><p>{W}</p></article></form>", W),
+    # A quote too many, an end tag that ends nothing.
+    (f'<article><p title="x>{W}</p><p>{W2}</p></article>', f"{W}\n{W2}"),
+    (f'<article><p title="x>{W}</p><p class="y">{W2}</p></article>', f"{W}\n{W2}"),
+    (f"<article><div class=ad><table><tr><td>x</div>y</table>buy</div><p>{W}</p></article>", W),
+    (f"<article><p>a < b and {W}</p></article>", f"a < b and {W}"),
+    # Not marked at all; a class of the body says nothing.
+    (f"<div id=wrap><h1>Head and more</h1><p>{W}</p></div>", f"Head and more\n{W}"),
+]
+
+
+@pytest.fixture(scope="module")
+def learnt(spark):
+    return H.learn(table(spark, "/root/testdata/sf0.01", "pages"), "html")
+
+
+@pytest.mark.parametrize("page, want", ORDINARY)
+def test_ordinary_pages(learnt, page, want):
+    html = f"<html><body class='page with-sidebar'>{page}</body></html>"
+    assert H.main_text(html, {}) == want
+    assert H.main_text(html, learnt) == want
+
+
+@pytest.mark.parametrize("junk", ["<td>", "<a ", "<a<", '<p title="x>', "<p class=ad><td>", "<span class=ad><div>", "</div>", "<a href='"])
+def test_long_broken_pages_take_linear_time(junk):
+    start = time.process_time()
+    assert H.main_text(f"<article>{W}{junk * 100_000}", {}).startswith(W)
+    assert time.process_time() - start < 4
 
 
 def test_table(spark):
