@@ -38,7 +38,11 @@ from claimlens.llm.minhash import MIN_SIMILARITY, SHINGLE, regions
 SAMPLE_ROWS = 8_000
 NEIGHBOURS = 16
 EVIDENCE = 3
+# Examples of a block, a power of two.
 BLOCK = 64
+# Words in at least this share of the examples have a weight for every example instead of a
+# posting list; texts that are searched with these at a time.
+DENSE_SHARE, BATCH = 0.08, 128
 # Weight of a word that is not tied to label 1, against 1 of one that is by `FAVOUR_Z` standard errors.
 FAVOUR_BASE, FAVOUR_Z = 0.05, 6.0
 # Squared similarity that the share of label 1 among all examples has in every vote.
@@ -61,8 +65,10 @@ class Index:
     worth: np.ndarray
     example_id: np.ndarray
     label: np.ndarray
-    # Postings by word, then example; `pair_*` are the runs of one word in one block.
-    post_ptr: np.ndarray
+    # Frequent words: their row, or -1, and weights by example, filled up to whole blocks.
+    dense_row: np.ndarray
+    dense: np.ndarray
+    # Postings of the other words by word, then example; `pair_*` are the runs of one word in one block.
     post_example: np.ndarray
     post_weight: np.ndarray
     pair_ptr: np.ndarray
@@ -70,38 +76,61 @@ class Index:
     pair_max: np.ndarray
     pair_start: np.ndarray
     pair_size: np.ndarray
-    n_blocks: int
     # Share of label 1 among the examples, which a vote without near neighbours tends to.
     rate: float
     slope: float = 1.0
     offset: float = 0.0
     without: float = 0.5
 
-    def nearest(self, word: np.ndarray, weight: np.ndarray, k: int, skip: int = -1):
+    def frequent(self, text: np.ndarray, word: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """What the frequent words add to the cosines of n texts with all examples."""
+        row = self.dense_row[word]
+        known = row >= 0
+        query = np.zeros((n, len(self.dense)))
+        query[text[known], row[known]] = weight[known]
+        return query @ self.dense
+
+    def search(self, ptr: np.ndarray, word: np.ndarray, weight: np.ndarray, rows: np.ndarray, skip: bool = False):
+        """(row, examples, cosines) of each of the rows; skip: leave out the example of that number."""
+        for at in range(0, len(rows), BATCH):
+            part = rows[at : at + BATCH]
+            size = ptr[part + 1] - ptr[part]
+            all_ = _runs(ptr[part], size)
+            base = self.frequent(np.repeat(np.arange(len(part)), size), word[all_], weight[all_], len(part))
+            for i, sums in zip(part.tolist(), base):
+                mine = slice(ptr[i], ptr[i + 1])
+                yield i, *self.nearest(word[mine], weight[mine], NEIGHBOURS, i if skip else -1, sums)
+
+    def nearest(self, word: np.ndarray, weight: np.ndarray, k: int, skip: int = -1, base: np.ndarray | None = None):
         """(examples, cosines) of the k nearest examples that share a word, best first."""
+        if base is None:
+            base = self.frequent(np.zeros(len(word), np.int64), word, weight, 1)[0]
+        base = base.reshape(-1, BLOCK)
         n_runs = self.pair_ptr[word + 1] - self.pair_ptr[word]
         runs = _runs(self.pair_ptr[word], n_runs)
         gain_of = np.repeat(weight, n_runs)
         block = self.pair_block[runs]
-        bounds = np.bincount(block, self.pair_max[runs] * gain_of, self.n_blocks)
+        bounds = base.max(axis=1) + np.bincount(block, self.pair_max[runs] * gain_of, len(base))
         by_bound = np.argsort(-bounds, kind="stable")
         bound = bounds[by_bound]
         n = int(np.searchsorted(-bound, 0.0))
-        rank = np.empty(self.n_blocks, dtype=np.int32)
-        rank[by_bound] = np.arange(self.n_blocks)
-        order = np.argsort(rank[block], kind="stable")
-        runs, gain_of, place = runs[order], gain_of[order], rank[block[order]]
-        found, score, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
+        rank = np.empty(len(base), dtype=np.int32)
+        rank[by_bound] = np.arange(len(base))
+        place = rank[block]
+        found, score, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 32
         while done < n:
-            if len(score) >= k and bound[done] < score[k - 1] - 1e-12:
+            if len(score) >= k and bound[done] < score[k - 1] - 1e-9:
                 break
             to = min(n, done + step)
-            lo, hi = np.searchsorted(place, [done, to])
-            size = self.pair_size[runs[lo:hi]]
-            at = _runs(self.pair_start[runs[lo:hi]], size)
+            now = np.flatnonzero((place >= done) & (place < to))
+            size = self.pair_size[runs[now]]
+            owner = np.repeat(np.arange(len(now)), size)
+            at = np.arange(len(owner)) + (self.pair_start[runs[now]] - (np.cumsum(size) - size))[owner]
             # The examples of the blocks looked at, block after block.
-            slot = self.post_example[at] % BLOCK + np.repeat((place[lo:hi] - done) * BLOCK, size)
-            total = np.bincount(slot, self.post_weight[at] * np.repeat(gain_of[lo:hi], size), (to - done) * BLOCK)
+            slot = (self.post_example[at] & (BLOCK - 1)) + ((place[now] - done) * BLOCK)[owner]
+            total = np.bincount(slot, self.post_weight[at] * gain_of[now][owner], (to - done) * BLOCK)
+            # Rounded, so that the order of the summands does not tell equal cosines apart.
+            total = np.round(total + base[by_bound[done:to]].ravel(), 12)
             hit = np.flatnonzero(total)
             if len(hit) > k:
                 hit = hit[total[hit] >= np.partition(total[hit], -k - 1)[-k - 1]]
@@ -135,15 +164,19 @@ class Index:
         ptr = np.searchsorted(text, np.arange(len(texts) + 1))
         scores, evidence = np.full(len(texts), self.without), [[] for _ in range(len(texts))]
         kept = {} if kept is None else kept
-        for i in np.flatnonzero(np.diff(ptr)):
+        if len(kept) >= 20_000:
+            kept.clear()
+        # Equal texts of a task are searched once.
+        keys, first = {}, {}
+        for i in np.flatnonzero(np.diff(ptr)).tolist():
             part = slice(ptr[i], ptr[i + 1])
-            key = blake2b(word[part].tobytes() + weight[part].tobytes(), digest_size=16).digest()
-            if key not in kept:
-                if len(kept) >= 20_000:
-                    kept.clear()
-                found, cosine = self.nearest(word[part], weight[part], NEIGHBOURS)
-                near = list(zip(self.example_id[found].tolist(), self.label[found].tolist(), cosine.tolist()))
-                kept[key] = (self.probability(self.vote(cosine, self.label[found])), near[:EVIDENCE])
+            keys[i] = blake2b(word[part].tobytes() + weight[part].tobytes(), digest_size=16).digest()
+            if keys[i] not in kept:
+                first.setdefault(keys[i], i)
+        for i, found, cosine in self.search(ptr, word, weight, np.array(list(first.values()), dtype=np.int64)):
+            near = list(zip(self.example_id[found].tolist(), self.label[found].tolist(), cosine.tolist()))
+            kept[keys[i]] = (self.probability(self.vote(cosine, self.label[found])), near[:EVIDENCE])
+        for i, key in keys.items():
             scores[i], evidence[i] = kept[key]
         return scores, evidence
 
@@ -190,44 +223,48 @@ def build(
     worth = (np.log((n_docs + 1) / (in_docs + 1)) + 1) * favour(df, df_pos, n, positive.sum())
     weight = (1 + np.log(count)) * worth[code]
     length = np.sqrt(np.bincount(text, weight**2, n))
-    weight = weight / length[text]
+    weight /= length[text]
     # Examples with the same main word stand together, which makes blocks' maxima tell more.
     main = np.full(n, -1)
     by = np.lexsort((weight, text))
     main[text[by]] = code[by]
-    place = np.empty(n, dtype=np.int64)
+    place = np.empty(n, dtype=np.int32)
     order = np.lexsort((ids, main))
     place[order] = np.arange(n)
     by = np.lexsort((place[text], code))
-    example, code, weight = place[text[by]], code[by], weight[by]
-    block = example // BLOCK
-    first = np.ones(len(code), dtype=bool)
-    first[1:] = (code[1:] != code[:-1]) | (block[1:] != block[:-1])
-    start = np.flatnonzero(first)
-    words_ = np.arange(len(vocabulary) + 1)
+    example, code, weight = place[text[by]], code[by].astype(np.int32), weight[by]
+    frequent = df >= max(DENSE_SHARE * n, 1)
+    dense_row = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
+    dense = np.zeros((int(frequent.sum()), -(-n // BLOCK) * BLOCK))
+    often = frequent[code]
+    dense[dense_row[code[often]], example[often]] = weight[often]
+    post_example, post_code, post_weight = example[~often], code[~often], weight[~often]
+    block = post_example // BLOCK
+    starts = np.ones(len(post_code), dtype=bool)
+    starts[1:] = (post_code[1:] != post_code[:-1]) | (block[1:] != block[:-1])
+    start = np.flatnonzero(starts)
     index = Index(
         vocabulary,
         worth,
         ids[order],
         labels[order],
-        np.searchsorted(code, words_),
-        example,
-        weight,
-        np.searchsorted(code[start], words_),
+        dense_row,
+        dense,
+        post_example,
+        post_weight,
+        np.searchsorted(post_code[start], np.arange(len(vocabulary) + 1)),
         block[start],
-        np.maximum.reduceat(weight, start) if len(start) else np.zeros(0),
-        start,
-        np.diff(np.append(start, len(code))),
-        -(-n // BLOCK),
+        np.maximum.reduceat(post_weight, start) if len(start) else np.zeros(0),
+        start.astype(np.int32),
+        np.diff(np.append(start, len(post_code))).astype(np.int32),
         float(positive.sum() / max(n, 1)),
     )
     by = np.lexsort((code, example))
     ptr = np.searchsorted(example[by], np.arange(n + 1))
+    code, weight = code[by], weight[by]
     votes, truth = [], []
     has = np.diff(ptr) > 0
-    for i in np.flatnonzero(has):
-        part = by[ptr[i] : ptr[i + 1]]
-        found, cosine = index.nearest(code[part], weight[part], NEIGHBOURS, skip=i)
+    for i, found, cosine in index.search(ptr, code, weight, np.flatnonzero(has), skip=True):
         if len(found):
             votes.append(index.vote(cosine, index.label[found]))
             truth.append(index.label[i])
@@ -328,9 +365,11 @@ def train(sample: DataFrame, docs: DataFrame | None = None, text_column: str = "
         return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(dtype)
 
     fresh = without_copies(flat("region", np.int64), A.list_sizes(table.column("region")), labels)
+    table = table.drop_columns(["region"])
     sizes = A.list_sizes(table.column("word"))
     text = np.repeat(np.arange(len(ids)), sizes)
-    word, count = flat("word", np.int64).view(np.uint64), flat("count", np.int64)
+    word, count = flat("word", np.int64).view(np.uint64), flat("count", np.int32)
+    del table
     use = fresh[text]
     place = np.cumsum(fresh) - 1
     frequency = document_frequency(docs, np.unique(word[use]), text_column) if docs is not None else None

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from brute import words
 
 from claimlens.llm import language as L, quality as Q, repetition as R, toxicity as X
@@ -88,7 +89,9 @@ def test_toxicity_on_held_out_labels(spark):
     assert {r.score for r in X.score(odd, index).collect()} == {index.without}
 
 
-def test_nearest_examples_are_exact():
+@pytest.mark.parametrize("share", [0.0, 0.15, 2.0])
+def test_nearest_examples_are_exact(monkeypatch, share):
+    monkeypatch.setattr(X, "DENSE_SHARE", share)
     rng = np.random.default_rng(6)
     n, v = 400, 30
     text, word = (a.astype(int) for a in np.nonzero(rng.random((n, v)) < 0.15))
@@ -97,8 +100,13 @@ def test_nearest_examples_are_exact():
     index = X.build(np.arange(n), labels, text, word.astype(np.uint64), rng.integers(1, 4, len(text)))
     dense = np.zeros((n, len(index.vocabulary)))
     for w in range(dense.shape[1]):
-        a, b = index.post_ptr[w], index.post_ptr[w + 1]
-        dense[index.post_example[a:b], w] = index.post_weight[a:b]
+        for run in range(index.pair_ptr[w], index.pair_ptr[w + 1]):
+            at = slice(index.pair_start[run], index.pair_start[run] + index.pair_size[run])
+            dense[index.post_example[at], w] = index.post_weight[at]
+        if index.dense_row[w] >= 0:
+            dense[:, w] = index.dense[index.dense_row[w]][:n]
+    assert np.allclose(np.linalg.norm(dense, axis=1), (dense != 0).any(1))
+    assert ((index.dense_row >= 0).mean() > 0.1) == (share < 1)
     assert dense.shape[1] > 1
     for _ in range(50):
         q = rng.random(dense.shape[1])
