@@ -217,6 +217,7 @@ def build(
     """
     n, positive = len(ids), labels.astype(float)
     vocabulary, code = np.unique(word, return_inverse=True)
+    code = code.astype(np.int32)
     df = np.bincount(code, minlength=len(vocabulary)).astype(float)
     df_pos = np.bincount(code, positive[text], len(vocabulary))
     in_docs, n_docs = (df, n) if frequency is None else frequency
@@ -232,7 +233,8 @@ def build(
     order = np.lexsort((ids, main))
     place[order] = np.arange(n)
     by = np.lexsort((place[text], code))
-    example, code, weight = place[text[by]], code[by].astype(np.int32), weight[by]
+    example, code, weight = place[text[by]], code[by], weight[by]
+    del by
     frequent = df >= max(DENSE_SHARE * n, 1)
     dense_row = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
     dense = np.zeros((int(frequent.sum()), -(-n // BLOCK) * BLOCK))
@@ -262,6 +264,7 @@ def build(
     by = np.lexsort((code, example))
     ptr = np.searchsorted(example[by], np.arange(n + 1))
     code, weight = code[by], weight[by]
+    del by, example, often, starts
     votes, truth = [], []
     has = np.diff(ptr) > 0
     for i, found, cosine in index.search(ptr, code, weight, np.flatnonzero(has), skip=True):
@@ -306,18 +309,22 @@ def without_copies(region: np.ndarray, size: np.ndarray, label: np.ndarray) -> n
 
     size: how many of the regions belong to each example, in order.
     """
-    n, ptr = len(size), np.concatenate([[0], np.cumsum(size)])
+    n = len(size)
     _, code, count = np.unique(region, return_inverse=True, return_counts=True)
-    holder = np.repeat(np.arange(n), size)[np.argsort(code, kind="stable")]
+    # Only regions that two examples share tell of copies.
+    shared = count[code] > 1
+    owner = np.repeat(np.arange(n, dtype=np.int32), size)[shared]
+    _, code, count = np.unique(code[shared].astype(np.int32), return_inverse=True, return_counts=True)
+    ptr = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
+    holder = owner[np.argsort(code, kind="stable")]
     first = np.cumsum(count) - count
     stay = np.ones(n, dtype=bool)
-    for i in np.flatnonzero(size):
+    for i in np.flatnonzero(np.diff(ptr)):
         if not stay[i]:
             continue
         mine = code[ptr[i] : ptr[i + 1]]
-        mine = mine[count[mine] > 1]
         common = np.zeros(n, dtype=np.int64)
-        for part in A.steps(count[mine], 1 << 22):
+        for part in A.steps(count[mine], 1 << 18):
             common += np.bincount(holder[_runs(first[mine[part]], count[mine[part]])], minlength=n)
         near = common >= MIN_SIMILARITY * (size[i] + size - common) - 1e-9
         near[: i + 1] = False
@@ -356,24 +363,27 @@ def document_frequency(docs: DataFrame, vocabulary: np.ndarray, text_column: str
 def train(sample: DataFrame, docs: DataFrame | None = None, text_column: str = "text") -> Index:
     """Index of a bounded table (id, text, label), with word frequencies over all rows of docs."""
     rows = sample.select(F.col("id").cast("long").alias("id"), "text", F.col("label").cast("int"))
-    table = rows.mapInArrow(A.over_texts(_example), _SCHEMA).toArrow().sort_by("id").combine_chunks()
-    ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
-
-    def flat(name: str, dtype) -> np.ndarray:
-        if not len(ids):
-            return np.zeros(0, dtype)
-        return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(dtype)
-
-    fresh = without_copies(flat("region", np.int64), A.list_sizes(table.column("region")), labels)
-    table = table.drop_columns(["region"])
-    sizes = A.list_sizes(table.column("word"))
-    text = np.repeat(np.arange(len(ids)), sizes)
-    word, count = flat("word", np.int64).view(np.uint64), flat("count", np.int32)
-    del table
+    table = rows.mapInArrow(A.over_texts(_example), _SCHEMA).toArrow()
+    order = np.argsort(table.column("id").to_numpy(), kind="stable")
+    ids, labels = (table.column(c).to_numpy()[order] for c in ("id", "label"))
+
+    def lists(name: str) -> tuple[np.ndarray, np.ndarray]:
+        """Values and sizes of one column's lists by id; the column is let go."""
+        nonlocal table
+        column = table.column(name).combine_chunks()
+        column = column.take(pa.array(order)) if len(order) else pa.array([], column.type)
+        table = table.drop_columns([name])
+        return column.flatten().to_numpy(zero_copy_only=False), A.list_sizes(column)
+
+    fresh = without_copies(*lists("region"), labels)
+    (word, sizes), (count, _) = lists("word"), lists("count")
+    text = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
     use = fresh[text]
-    place = np.cumsum(fresh) - 1
-    frequency = document_frequency(docs, np.unique(word[use]), text_column) if docs is not None else None
-    return build(ids[fresh], labels[fresh], place[text[use]], word[use], count[use], frequency)
+    place = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+    text, word, count = place[text[use]], word[use].view(np.uint64), count[use]
+    pa.default_memory_pool().release_unused()
+    frequency = document_frequency(docs, np.unique(word), text_column) if docs is not None else None
+    return build(ids[fresh], labels[fresh], text, word, count, frequency)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Index:
