@@ -310,13 +310,17 @@ def without_copies(region: np.ndarray, size: np.ndarray, label: np.ndarray) -> n
     size: how many of the regions belong to each example, in order.
     """
     n = len(size)
-    _, code, count = np.unique(region, return_inverse=True, return_counts=True)
+    order = np.argsort(region, kind="stable")
+    new = np.ones(len(region), dtype=bool)
+    new[1:] = np.diff(region[order]) != 0
+    count = np.diff(np.append(np.flatnonzero(new), len(region)))
     # Only regions that two examples share tell of copies.
-    shared = count[code] > 1
-    owner = np.repeat(np.arange(n, dtype=np.int32), size)[shared]
-    _, code, count = np.unique(code[shared].astype(np.int32), return_inverse=True, return_counts=True)
-    ptr = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
-    holder = owner[np.argsort(code, kind="stable")]
+    at = order[np.repeat(count > 1, count)]
+    del order, new
+    count = count[count > 1]
+    holder = np.repeat(np.arange(n, dtype=np.int32), size)[at]
+    code = np.repeat(np.arange(len(count), dtype=np.int32), count)[np.argsort(at)]
+    ptr = np.concatenate([[0], np.cumsum(np.bincount(holder, minlength=n))])
     first = np.cumsum(count) - count
     stay = np.ones(n, dtype=bool)
     for i in np.flatnonzero(np.diff(ptr)):
