@@ -105,7 +105,8 @@ def pattern_counts(
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
     salted = marks.withColumn("salt", F.pmod(F.hash("digest"), F.lit(SALTS)))
-    labelled = salted.join(marked, ["id", "salt"]).select(
+    # Spark takes the salted labels for as small as the labels' files, and would broadcast them.
+    labelled = salted.join(marked.hint("merge"), ["id", "salt"]).select(
         "part",
         "mask",
         F.lit(0).cast("long").alias("n"),

@@ -145,6 +145,18 @@ def test_filter_audit_against_a_plain_version(spark):
     assert filters.audit(filters.pattern_counts(df, marks.limit(0))).count() == 2400
 
 
+def test_labels_are_not_broadcast_by_the_size_of_their_files(spark):
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('w', id) AS text", "'en' AS lang")
+    # Taken for 320 KB, far below the limit for a broadcast; with all salts they are 20 MB and more.
+    labels = spark.range(20_000).selectExpr("id AS doc_id", "1 AS quality", "int(id % 2) AS toxic")
+    counts = filters.pattern_counts(docs, labels)
+    rows = counts.collect()
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"(\w+Join) \[id#\w+, salt#", plan)) == {"SortMergeJoin"}
+    # Too few words, and nothing else.
+    assert [tuple(r) for r in rows if r.n] == [("en", 16, 300, 300, 150)]
+
+
 def test_contractions_of_one_pattern():
     t = np.zeros((1, 3, 2, 2, 2, 2, 2), dtype=np.int64)
     t[0, 0, 1, 0, 1, 0, 0] = 7
